@@ -56,9 +56,14 @@ def pii_token(value: Column, key: bytes) -> Column:
     return F.lower(F.hex(hmac_sha256(value, key)))
 
 
+def base64_text(value: Column) -> Column:
+    """Base64 on one line; Spark's own breaks lines after 76 characters."""
+    return F.translate(F.base64(value), "\r\n", "")
+
+
 def encrypt_pii(value: Column, key: bytes) -> Column:
     """AES-256-GCM, base64 of nonce, ciphertext and tag; a fresh nonce per value."""
-    return F.base64(F.aes_encrypt(value, F.lit(bytearray(key)), F.lit("GCM")))
+    return base64_text(F.aes_encrypt(value, F.lit(bytearray(key)), F.lit("GCM")))
 
 
 def decrypt_pii(value: Column, key: bytes) -> Column:
@@ -70,7 +75,7 @@ def signing_text(method: Column, path: Column, ts: Column, body: Column, nonce:
 
 
 def sign(method: Column, path: Column, ts: Column, body: Column, nonce: Column, key: bytes) -> Column:
-    return F.base64(hmac_sha256(signing_text(method, path, ts, body, nonce), key))
+    return base64_text(hmac_sha256(signing_text(method, path, ts, body, nonce), key))
 
 
 def skew_reason(now: Column, ts: Column, skew: int = 60) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.frames import over_previous, over_trailing, running_last
+from riskweave.operators.frames import SLICE_ROWS, apply, last_seen, over_trailing, previous
 from riskweave.operators.metrics import counter_increase, histogram_quantile
 
 
@@ -67,7 +67,7 @@ def _expression(samples: DataFrame, kind: str, range_s: int, q: float, **cut) ->
     return histogram_quantile(merged, q, [*SERIES, "ts_long", "seq"]).withColumnRenamed("quantile", "x")
 
 
-def eval_alerts(samples: DataFrame, rules: list[Rule] = RULES, **cut) -> DataFrame:
+def eval_alerts(samples: DataFrame, rules: list[Rule] = RULES, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
     """State of every rule at every matching sample.
 
     ``samples``: ``name, series, ts_long, seq, value`` and, for histogram buckets, ``le``.
@@ -85,7 +85,7 @@ def eval_alerts(samples: DataFrame, rules: list[Rule] = RULES, **cut) -> DataFra
             lambda r: r.isNotNull(),
         )
         matched = samples.select("*", F.explode(names).alias("rule"))
-        parts.append(_expression(matched, kind, range_s, q, **cut).select(*kept))
+        parts.append(_expression(matched, kind, range_s, q, limit=limit, rows=rows).select(*kept))
     values = parts[0]
     for part in parts[1:]:
         values = values.unionByName(part)
@@ -101,8 +101,9 @@ def eval_alerts(samples: DataFrame, rules: list[Rule] = RULES, **cut) -> DataFra
         before = F.coalesce(F.lag("_over").over(w), F.lit(False))
         return {"_start": F.when(F.col("_over") & ~before, F.col("ts_long"))}
 
-    marked = over_previous(judged, SERIES, "ts_long", ["ts_long", "seq"], 1, starts, **cut)
-    held = running_last(marked, SERIES, "ts_long", ["ts_long", "seq"], "_start", "_since", **cut)
+    order = ["ts_long", "seq"]
+    ops = [previous(SERIES, "ts_long", order, 1, starts, rows), last_seen(SERIES, "ts_long", order, "_start", "_since", rows)]
+    held = apply(judged, SERIES, "ts_long", ops, limit)
     since = F.when(F.col("_over"), F.col("_since"))
     state = (
         F.when(~F.col("_over"), "ok").when(F.col("ts_long") - F.col("_since") >= F.col("_hold"), "firing").otherwise("pending")

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from riskweave.session import cut as cut_lineage
+
 HOT_ROWS = 50_000  # rows per key from which on the key is cut
 SLICE_ROWS = 1_000_000  # rows aimed at per slice or pane of a cut key
 
@@ -67,7 +69,8 @@ def apply(df: DataFrame, key: list[str], ts: str, ops: list[Op], limit: int | No
     cold_rows = df.join(hot, _same(key), "left_anti")
     hot_rows = df.join(hot, _same(key)).drop(*[f"_h_{k}" for k in key])
     cold_done = reduce(lambda part, op: op.plain(part), ops, cold_rows)
-    hot_done = reduce(lambda part, op: op.cut(part), ops, hot_rows)
+    # A cut form reads its input two or three times; a written table keeps chained steps from multiplying that.
+    hot_done = reduce(lambda part, op: op.cut(cut_lineage(part)), ops, hot_rows)
     return cold_done.unionByName(hot_done.drop(*STATS))
 
 
@@ -206,16 +209,7 @@ def over_trailing(df: DataFrame, key: list[str], ts: str, frames: dict, limit: i
     return apply(df, key, ts, [trailing(key, ts, frames, rows)], limit)
 
 
-def running_last(
-    df: DataFrame,
-    key: list[str],
-    ts: str,
-    order: list[str],
-    value: str,
-    name: str,
-    limit: int | None = None,
-    rows: int = SLICE_ROWS,
-) -> DataFrame:
+def last_seen(key: list[str], ts: str, order: list[str], value: str, name: str, rows: int = SLICE_ROWS) -> Op:
     """Newest non-null ``value`` of the key up to and including the row, in ``order``."""
 
     def last_over(spec: WindowSpec) -> Column:
@@ -237,7 +231,13 @@ def running_last(
         spec = W.partitionBy(*key, "_slice").orderBy(*order)
         return joined.withColumn(name, F.coalesce(last_over(spec), F.col(f"_carry.{value}"))).drop("_carry", "_slice")
 
-    return apply(df, key, ts, [Op(plain, cut)], limit)
+    return Op(plain, cut)
+
+
+def running_last(
+    df: DataFrame, key: list[str], ts: str, order: list[str], value: str, name: str, limit: int | None = None, rows: int = SLICE_ROWS
+) -> DataFrame:
+    return apply(df, key, ts, [last_seen(key, ts, order, value, name, rows)], limit)
 
 
 def distinct(key: list[str], ts: str, item: str, seconds: int, name: str, rows: int = SLICE_ROWS) -> Op:

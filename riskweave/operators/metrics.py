@@ -7,11 +7,11 @@ boundaries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from riskweave.operators.frames import over_previous, over_trailing
+from riskweave.operators.frames import SLICE_ROWS, Op, apply, over_trailing, previous, trailing
 from riskweave.operators.ranks import order_statistics
 
 # Histogram edges in use.
@@ -70,16 +70,23 @@ def histogram_quantile(hist: DataFrame, q: float, by: list[str]) -> DataFrame:
     return first.select(*by, F.when(F.col("b.le") == float("inf"), F.col("b.lo")).otherwise(inside).alias("quantile"))
 
 
-def counter_increase(samples: DataFrame, series: list[str], range_s: int, out: str = "increase", **cut) -> DataFrame:
-    """Growth of a counter over the trailing range; a drop means a restart from zero."""
+def _grown(column: str, w: WindowSpec) -> Column:
+    before = F.lag(column).over(w)
+    up = F.when(F.col(column) >= before, F.col(column) - before).otherwise(F.col(column))
+    return F.when(before.isNull(), 0.0).otherwise(up.cast("double"))
+
 
-    def build(w) -> dict[str, Column]:
-        before = F.lag("value").over(w)
-        grown = F.when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value"))
-        return {"_grown": F.when(before.isNull(), 0.0).otherwise(grown.cast("double"))}
+def _steps(series: list[str], columns: dict[str, str], rows: int) -> Op:
+    """Growth of each counter column since the previous sample, under the given new name."""
+    return previous(series, "ts_long", ["ts_long", "seq"], 1, lambda w: {new: _grown(c, w) for c, new in columns.items()}, rows)
 
-    stepped = over_previous(samples, series, "ts_long", ["ts_long", "seq"], 1, build, **cut)
-    return over_trailing(stepped, series, "ts_long", {out: ("sum", "_grown", range_s)}, **cut).drop("_grown")
+
+def counter_increase(
+    samples: DataFrame, series: list[str], range_s: int, out: str = "increase", limit: int | None = None, rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Growth of a counter over the trailing range; a drop means a restart from zero."""
+    ops = [_steps(series, {"value": "_grown"}, rows), trailing(series, "ts_long", {out: ("sum", "_grown", range_s)}, rows)]
+    return apply(samples, series, "ts_long", ops, limit).drop("_grown")
 
 
 def counter_rate(samples: DataFrame, series: list[str], range_s: int, **cut) -> DataFrame:
@@ -95,20 +102,13 @@ def error_ratio(df: DataFrame, by: list[str], range_s: int, **cut) -> DataFrame:
     return out.withColumn("error_ratio", F.try_divide("_bad", "_all")).drop("_err", "_bad", "_all")
 
 
-def mean_from_counters(samples: DataFrame, series: list[str], sum_col: str, count_col: str, range_s: int, **cut) -> DataFrame:
+def mean_from_counters(
+    samples: DataFrame, series: list[str], sum_col: str, count_col: str, range_s: int, limit: int | None = None, rows: int = SLICE_ROWS
+) -> DataFrame:
     """Mean over the trailing range from a sum counter and a count counter; null where nothing was counted."""
-
-    def build(w) -> dict[str, Column]:
-        def grown(c: str) -> Column:
-            before = F.lag(c).over(w)
-            up = F.when(F.col(c) >= before, F.col(c) - before).otherwise(F.col(c)).cast("double")
-            return F.when(before.isNull(), 0.0).otherwise(up)
-
-        return {"_ds": grown(sum_col), "_dc": grown(count_col)}
-
-    stepped = over_previous(samples, series, "ts_long", ["ts_long", "seq"], 1, build, **cut)
     frames = {"_rs": ("sum", "_ds", range_s), "_rc": ("sum", "_dc", range_s)}
-    out = over_trailing(stepped, series, "ts_long", frames, **cut)
+    ops = [_steps(series, {sum_col: "_ds", count_col: "_dc"}, rows), trailing(series, "ts_long", frames, rows)]
+    out = apply(samples, series, "ts_long", ops, limit)
     return out.withColumn("mean", F.try_divide("_rs", "_rc")).drop("_ds", "_dc", "_rs", "_rc")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that lost executors cost no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Write ``df`` as a table into the shared folder and read it back.
+
+    Lost executors then cost no recomputation, several readers share one computation, and unlike a checkpointed
+    RDD the table keeps column pruning and size statistics.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/riskweave-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.frames import SLICE_ROWS, apply, last_seen, over_trailing, previous
-from riskweave.operators.metrics import counter_increase, histogram_quantile
+from riskweave.operators.metrics import SAMPLE_ORDER, counter_increase, histogram_quantile
 
 
 @dataclass(frozen=True)
@@ -101,9 +101,8 @@ def eval_alerts(samples: DataFrame, rules: list[Rule] = RULES, limit: int | None
         before = F.coalesce(F.lag("_over").over(w), F.lit(False))
         return {"_start": F.when(F.col("_over") & ~before, F.col("ts_long"))}
 
-    order = ["ts_long", "seq"]
-    ops = [previous(SERIES, "ts_long", order, 1, starts, rows), last_seen(SERIES, "ts_long", order, "_start", "_since", rows)]
-    held = apply(judged, SERIES, "ts_long", ops, limit)
+    ops = [previous(SERIES, SAMPLE_ORDER, 1, starts), last_seen(SERIES, SAMPLE_ORDER, "_start", "_since")]
+    held = apply(judged, SERIES, SAMPLE_ORDER, ops, limit, rows)
     since = F.when(F.col("_over"), F.col("_since"))
     state = (
         F.when(~F.col("_over"), "ok").when(F.col("ts_long") - F.col("_since") >= F.col("_hold"), "firing").otherwise("pending")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.times import epoch_seconds
 from riskweave.operators.frames import SLICE_ROWS, running_last
 
 
@@ -48,13 +47,11 @@ def asof_join(
         F.lit(None).cast(left.schema["_probe"].dataType).alias("_probe"),
     )
     both = left.unionByName(right)
-    seconds = F.col("_t") if left.schema["_t"].dataType.typeName() in ("long", "integer") else epoch_seconds(F.col("_t"))
-    both = both.withColumn("_sec", seconds)
-    found = running_last(both, key, "_sec", ["_t", "_kind", "_tie"], "_fact", "_found", limit, rows)
+    found = running_last(both, key, ["_t", "_kind", "_tie"], "_fact", "_found", limit, rows)
     return found.where("_kind = 1").select("_probe.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 
-def asof_stats(tx: DataFrame, stats: DataFrame, limit: int | None = None) -> DataFrame:
+def asof_stats(tx: DataFrame, stats: DataFrame, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
     """Newest closed window of the account at or before the transaction."""
     columns = ["window_end", "avg_amount", "std_amount", "max_amount"]
-    return asof_join(tx, stats, ["account_id"], "ts_long", "window_end", columns, "window_end", limit)
+    return asof_join(tx, stats, ["account_id"], "ts_long", "window_end", columns, "window_end", limit, rows)

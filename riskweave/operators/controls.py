@@ -122,21 +122,21 @@ def drift_step(edges: dict[str, list[float]], expected: dict[str, list[float]],
 
 def dedup_ttl(df: DataFrame, key: list[str], order: list[str], ttl: float = IDEMPOTENCY_TTL, **cut) -> DataFrame:
     """Add ``accepted``: the first row of a key, and again the first one at least ``ttl`` after an accepted one."""
-    return ordered_fold(df, key, "ts_long", order, ["now"], ACCEPTED, ttl_step(ttl), **cut)
+    return ordered_fold(df, key, order, ["now"], ACCEPTED, ttl_step(ttl), **cut)
 
 
 def replay_guard(df: DataFrame, token: str, order: list[str], exp: str = "exp", **cut) -> DataFrame:
     """Add ``reason`` (``ok``, ``missing_jti``, ``expired``, ``replay``) per token id.  Rows without an id need no state."""
     bare = df.where(F.col(token).isNull()).withColumn("reason", F.lit("missing_jti"))
     known = df.where(F.col(token).isNotNull())
-    return ordered_fold(known, [token], "ts_long", order, ["now", exp], REPLAY, replay_step(), **cut).unionByName(bare)
+    return ordered_fold(known, [token], order, ["now", exp], REPLAY, replay_step(), **cut).unionByName(bare)
 
 
 def token_bucket(
     df: DataFrame, key: list[str], order: list[str], capacity: int = BUCKET_CAPACITY, per_minute: float = BUCKET_PER_MINUTE, **cut
 ) -> DataFrame:
     """Add ``allowed`` and ``tokens`` left; refills are whole tokens since the last allowed row."""
-    return ordered_fold(df, key, "ts_long", order, ["now"], BUCKET, bucket_step(capacity, per_minute), **cut)
+    return ordered_fold(df, key, order, ["now"], BUCKET, bucket_step(capacity, per_minute), **cut)
 
 
 def breaker(
@@ -149,7 +149,7 @@ def breaker(
     **cut,
 ) -> DataFrame:
     """Add ``state`` after the row and ``tripped``; rows met by an open breaker are refused and not recorded."""
-    return ordered_fold(df, key, "ts_long", order, ["now", "failed"], BREAKER, breaker_step(failures, window, open_for), **cut)
+    return ordered_fold(df, key, order, ["now", "failed"], BREAKER, breaker_step(failures, window, open_for), **cut)
 
 
 def running_drift(
@@ -160,7 +160,7 @@ def running_drift(
 
     ``key`` holds ``feature`` and the monitor a row reports to, as every scoring replica watches its own traffic.
     """
-    return ordered_fold(df, key, "ts_long", order, ["feature", "value"], RUNNING_PSI, drift_step(edges, expected, window), **cut)
+    return ordered_fold(df, key, order, ["feature", "value"], RUNNING_PSI, drift_step(edges, expected, window), **cut)
 
 
 def hash_chain(df: DataFrame, key: list[str], order: list[str], payload: str) -> DataFrame:

@@ -19,7 +19,7 @@ DAY = 86_400
 
 
 def _rows(df: DataFrame, build, back: int, **cut) -> DataFrame:
-    return over_previous(df, KEY, "ts_long", ORDER, back, build, **cut)
+    return over_previous(df, KEY, ORDER, back, build, **cut)
 
 
 def _frame(spec: WindowSpec) -> WindowSpec:
@@ -87,9 +87,9 @@ def unique_receivers_24h(df: DataFrame, **cut) -> DataFrame:
 
 
 def login_ip_changed_last_hour(df: DataFrame, seconds: int = 3600, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
-    moved = previous(KEY, "ts_long", ORDER, 1, lambda w: {"_moved": _changed(w, "ip")}, rows)
-    recent = trailing(KEY, "ts_long", {"login_ip_changed_last_hour": ("max", "_moved", seconds)}, rows)
-    return apply(df, KEY, "ts_long", [moved, recent], limit).drop("_moved")
+    moved = previous(KEY, ORDER, 1, lambda w: {"_moved": _changed(w, "ip")})
+    recent = trailing(KEY, "ts_long", {"login_ip_changed_last_hour": ("max", "_moved", seconds)})
+    return apply(df, KEY, ORDER, [moved, recent], limit, rows).drop("_moved")
 
 
 def stream_vector_features(df: DataFrame, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
@@ -105,10 +105,10 @@ def stream_vector_features(df: DataFrame, limit: int | None = None, rows: int =
         }
 
     steps = [
-        previous(KEY, "ts_long", ORDER, BACK, build, rows),
-        trailing(KEY, "ts_long", {"rolling_amount_5m": ("sum", "amount", 300)}, rows),
+        previous(KEY, ORDER, BACK, build),
+        trailing(KEY, "ts_long", {"rolling_amount_5m": ("sum", "amount", 300)}),
     ]
-    out = apply(df, KEY, "ts_long", steps, limit)
+    out = apply(df, KEY, ORDER, steps, limit, rows)
     return out.withColumns(
         {
             "amount_ratio": F.col("amount") / (F.col("rolling_amount_5m") + F.lit(1e-3)),
@@ -135,10 +135,10 @@ def model_features(df: DataFrame, limit: int | None = None, rows: int = SLICE_RO
         "avg_transaction_amount_24h": ("avg", "amount", DAY),
         "login_ip_changed_last_hour": ("max", "_moved", 3600),
     }
-    steps = [previous(KEY, "ts_long", ORDER, 1, build, rows), trailing(KEY, "ts_long", frames, rows)]
+    steps = [previous(KEY, ORDER, 1, build), trailing(KEY, "ts_long", frames)]
     if receivers:
-        steps.append(distinct(KEY, "ts_long", "receiver_id", DAY, "unique_receivers_24h", rows))
-    out = apply(df, KEY, "ts_long", steps, limit).drop("_moved")
+        steps.append(distinct(KEY, "ts_long", "receiver_id", DAY, "unique_receivers_24h"))
+    out = apply(df, KEY, ORDER, steps, limit, rows).drop("_moved")
     ts = F.col("ts")
     return out.withColumns(
         {

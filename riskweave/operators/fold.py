@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from riskweave.operators.frames import HOT_ROWS, SLICE_ROWS, hot_keys, with_slice
-from riskweave.session import cut as cut_lineage
+from riskweave.operators.frames import SLICE_ROWS, renamed, same, split
+from riskweave.session import cut as write_table
 
 State = list[float] | None
 Step = Callable[[State, tuple], tuple[State, tuple]]
@@ -63,7 +63,6 @@ def _run(df: DataFrame, group: list[str], order: list[str], inputs: list[str], o
 def ordered_fold(
     df: DataFrame,
     key: list[str],
-    ts: str,
     order: list[str],
     inputs: list[str],
     outputs: T.StructType,
@@ -71,32 +70,27 @@ def ordered_fold(
     limit: int | None = None,
     rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Add ``outputs`` of ``step(state, inputs) -> (state, outputs)``; the state is a list of doubles, null at first.
-
-    ``ts`` is the whole-second column hot keys are cut along and must come first in ``order``'s sense.
-    """
-    limit = HOT_ROWS if limit is None else limit
+    """Add ``outputs`` of ``step(state, inputs) -> (state, outputs)``; the state is a list of doubles, null at first."""
     empty = F.lit(None).cast("array<double>")
-    hot = hot_keys(df, key, ts, limit)
-    if hot.isEmpty():
-        return _run(df.withColumn("_entry", empty), key, order, inputs, outputs, step)
-    cold = df.join(hot, key, "left_anti").withColumn("_entry", empty)
-    sliced = with_slice(df.join(hot, key), ts, rows)
+    parts = split(df, key, order, limit, rows)
+    cold = _run(parts.cold.withColumn("_entry", empty), key, order, inputs, outputs, step)
+    if parts.hot is None:
+        return cold
     group = [*key, "_slice"]
-    columns = list(dict.fromkeys([*group, *order, *inputs]))
-    lean = cut_lineage(sliced.select(*columns))
-    ends = cut_lineage(_run(lean.withColumn("_entry", empty), group, order, inputs, outputs, step, True).withColumn("_entry", empty))
+    lean = parts.hot.select(*dict.fromkeys([*group, *order, *inputs]))
+    ends = write_table(_run(lean.withColumn("_entry", empty), group, order, inputs, outputs, step, True).withColumn("_entry", empty))
     while True:
         handed = F.lag("_exit").over(W.partitionBy(*key).orderBy("_slice"))
-        wanted = ends.withColumn("_want", handed)
-        stale = wanted.where(~F.col("_want").eqNullSafe(F.col("_entry")))
+        stale = ends.withColumn("_want", handed).where(~F.col("_want").eqNullSafe(F.col("_entry")))
+        stale = write_table(stale.select(*group, F.col("_want").alias("_entry")))
         if stale.isEmpty():
             break
-        again = lean.join(stale.select(*group, F.col("_want").alias("_entry")), group)
-        redone = _run(again, group, order, inputs, outputs, step, True)
-        entries = stale.select(*group, F.col("_want").alias("_entry"))
-        fresh = entries.join(redone, group)
-        ends = cut_lineage(ends.join(entries, group, "left_anti").unionByName(fresh))
-    hot_rows = sliced.join(ends.select(*group, "_entry"), group)
-    done = _run(hot_rows, group, order, inputs, outputs, step).drop("_slice")
-    return _run(cold, key, order, inputs, outputs, step).unionByName(done.select(*df.columns, *outputs.names))
+        kept = ends.join(renamed(stale.select(*group), group), same(group), "left_anti")
+        again = lean.join(renamed(stale, group), same(group)).drop(*[f"_h_{c}" for c in group])
+        redone = renamed(_run(again, group, order, inputs, outputs, step, True), group)
+        fresh = stale.join(redone, same(group)).select(*group, "_exit", "_entry")
+        ends = write_table(kept.unionByName(fresh))
+    entries = renamed(ends.select(*group, "_entry"), group)
+    hot = parts.hot.join(entries, same(group)).drop(*[f"_h_{c}" for c in group])
+    done = _run(hot, group, order, inputs, outputs, step).drop("_slice")
+    return cold.unionByName(done)

@@ -1,18 +1,20 @@
 """Ordered per-key frames that stay balanced when one key holds a large share of all rows.
 
-Spark evaluates a window partition inside one task, and a sliding frame re-reads its rows for every
-output row.  Both are fine for an ordinary key and ruinous for a hot one.  Every operator here takes
-the plain ``Window`` for keys of at most ``limit`` rows and cuts the few larger keys along time:
-
-* ``over_previous``  - frames that look back a fixed number of rows; each time slice of a hot key gets
-  the last rows of the slices before it as a halo.
-* ``over_trailing``  - frames over the last *s* seconds; a hot key is cut into panes that divide *s*,
-  and a frame is the sum of its own pane's prefix, the whole panes in between, and the oldest pane's
-  suffix.  Each row costs O(1), however long the frame.
-* ``running_last``   - newest non-null value so far; slices hand their last value on.
-* ``distinct_trailing`` - distinct items over the last *s* seconds.
-
-Whether a key is hot is decided from one count per key (partial aggregation, key and time columns only).
+Spark evaluates a window partition inside one task, and a sliding frame re-reads its rows for every output row.
+Both are fine for an ordinary key and ruinous for a hot one.  Every operator here takes the plain ``Window`` for
+keys of at most ``limit`` rows and has a second form for the few larger keys, whose rows are range-partitioned by
+key and order into slices of about ``rows`` rows:
+
+* ``previous``  - frames that look back a fixed number of rows; a slice gets the last rows of the slices before
+  it as a halo.
+* ``last_seen`` - newest non-null value so far; slices hand their last value on.
+* ``trailing``  - aggregates over the last *s* seconds.  They depend on key and second only, so rows collapse to
+  one per second first.  Time is cut into panes that divide *s*; a frame is its own pane's prefix, the whole panes
+  in between, and the oldest pane's suffix, so that each second costs O(1) however long the frame.
+* ``distinct``  - distinct items over the last *s* seconds, as a running sum of arrivals and departures.
+
+Whether a key is hot is decided from one count per key (partial aggregation, key columns only).  Results are the
+same in both forms.
 """
 
 from __future__ import annotations
@@ -20,118 +22,134 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from math import gcd
+from math import ceil, gcd
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from riskweave.session import cut as cut_lineage
+from riskweave.session import cut as write_table
 
 HOT_ROWS = 50_000  # rows per key from which on the key is cut
-SLICE_ROWS = 1_000_000  # rows aimed at per slice or pane of a cut key
+SLICE_ROWS = 1_000_000  # rows aimed at per slice
+PANE_SECONDS = 600  # longest pane
 
 
-def hot_keys(df: DataFrame, key: list[str], ts: str, limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows, with their row count and first and last second."""
-    return (
-        df.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
-        .where(F.col("_n") > limit)
-    )
+def hot_keys(df: DataFrame, key: list[str], limit: int | None) -> DataFrame:
+    """Keys with more than ``limit`` rows; at most ``rows / limit`` of them."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (HOT_ROWS if limit is None else limit))
 
 
-def _same(key: list[str]) -> Column:
-    """Match a key against the renamed key of a helper table; a null key equals itself."""
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in key])
+def same(columns: list[str]) -> Column:
+    """Match columns against a helper table that holds them as ``_h_<name>``; a null equals itself."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in columns])
+
+
+def renamed(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_h_{c}" for c in columns})
+
+
+@dataclass(frozen=True)
+class Split:
+    """Ordinary rows, and the hot keys' rows with ``_slice``; slices of a key are numbered in its order."""
+
+    cold: DataFrame
+    hot: DataFrame | None
+
+
+def split(df: DataFrame, key: list[str], order: list[str], limit: int | None, rows: int) -> Split:
+    hot = hot_keys(df, key, limit)
+    total = hot.agg(F.sum("_n")).first()[0]
+    if total is None:
+        return Split(df, None)
+    # Spark broadcasts the hot list only when it measures it small.
+    hot = renamed(hot.drop("_n"), key)
+    cold = df.join(hot, same(key), "left_anti")
+    drop = [f"_h_{k}" for k in key]
+    # Range partitioning splits any crowd, down to rows of one instant.  Writing the slice numbers fixes them.
+    ranged = df.join(hot, same(key)).drop(*drop).repartitionByRange(ceil(total / rows), *key, *order)
+    return Split(cold, write_table(ranged.withColumn("_slice", F.spark_partition_id())))
 
 
 @dataclass(frozen=True)
 class Op:
-    """One step in two forms.  ``cut`` gets, and must keep, ``_n _t0 _t1`` of the row's key."""
+    """One step in two forms; ``cut`` gets, and keeps, the column ``_slice``."""
 
     plain: Callable[[DataFrame], DataFrame]
     cut: Callable[[DataFrame], DataFrame]
 
 
-STATS = ["_n", "_t0", "_t1"]
-
+def apply(df: DataFrame, key: list[str], order: list[str], ops: list[Op], limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
+    """Run ``ops`` in turn: the plain forms for ordinary keys, the cut forms for hot ones, which are found once."""
+    parts = split(df, key, order, limit, rows)
+    cold = reduce(lambda part, op: op.plain(part), ops, parts.cold)
+    if parts.hot is None:
+        return cold
+    hot = parts.hot
+    for i, op in enumerate(ops):
+        # A cut form reads its input more than once; a table between steps keeps that from multiplying.
+        hot = op.cut(write_table(hot) if i else hot)
+    return cold.unionByName(hot.drop("_slice"))
 
-def apply(df: DataFrame, key: list[str], ts: str, ops: list[Op], limit: int | None = None) -> DataFrame:
-    """Run ``ops`` in turn: the plain forms for ordinary keys, the cut forms for hot ones; hot keys are found once.
 
-    The hot list has at most ``rows / limit`` entries; Spark broadcasts it only when it measures it small.
-    """
-    hot = hot_keys(df, key, ts, HOT_ROWS if limit is None else limit)
-    if hot.isEmpty():
-        return reduce(lambda part, op: op.plain(part), ops, df)
-    hot = hot.select(*[F.col(k).alias(f"_h_{k}") for k in key], *STATS)
-    cold_rows = df.join(hot, _same(key), "left_anti")
-    hot_rows = df.join(hot, _same(key)).drop(*[f"_h_{k}" for k in key])
-    cold_done = reduce(lambda part, op: op.plain(part), ops, cold_rows)
-    # A cut form reads its input two or three times; a written table keeps chained steps from multiplying that.
-    hot_done = reduce(lambda part, op: op.cut(cut_lineage(part)), ops, hot_rows)
-    return cold_done.unionByName(hot_done.drop(*STATS))
-
-
-def with_slice(df: DataFrame, ts: str, rows: int) -> DataFrame:
-    """Number equal time slices so that a slice holds about ``rows`` rows."""
-    parts = F.ceil(F.col("_n") / F.lit(rows))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_t1") - F.col("_t0") + 1) / parts))
-    return df.withColumn("_slice", F.floor((F.col(ts) - F.col("_t0")) / width))
-
-
-def previous(
-    key: list[str],
-    ts: str,
-    order: list[str],
-    back: int,
-    build: Callable[[WindowSpec], dict[str, Column]],
-    rows: int = SLICE_ROWS,
-) -> Op:
+def previous(key: list[str], order: list[str], back: int, build: Callable[[WindowSpec], dict[str, Column]]) -> Op:
     """Add the columns ``build`` makes over a window ordered by ``order`` that looks back at most ``back`` rows."""
 
     def plain(part: DataFrame) -> DataFrame:
         return part.withColumns(build(W.partitionBy(*key).orderBy(*order)))
 
     def cut(part: DataFrame) -> DataFrame:
-        sliced = with_slice(part, ts, rows)
-        names = part.columns
         newest = W.partitionBy(*key, "_slice").orderBy(*[F.col(c).desc() for c in order])
+        row = F.struct(*order, F.struct(*part.columns).alias("_row"))
         tails = (
-            sliced.withColumn("_r", F.row_number().over(newest))
+            part.withColumn("_r", F.row_number().over(newest))
             .where(F.col("_r") <= back)
             .groupBy(*key, "_slice")
-            .agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*names).alias("_row")))).alias("_tail"))
+            .agg(F.array_sort(F.collect_list(row)).alias("_tail"))
         )
-        # Every slice in the table has a row, so the last ``back`` slices hold the last ``back`` rows.
-        before = W.partitionBy(*key).orderBy("_slice").rowsBetween(-back, -1)
-        held = F.flatten(F.collect_list("_tail").over(before))
+        # Every slice here has a row, so the ``back`` slices before hold the last ``back`` rows.
+        held = F.flatten(F.collect_list("_tail").over(W.partitionBy(*key).orderBy("_slice").rowsBetween(-back, -1)))
+        recent = F.slice("_held", F.greatest(F.lit(1), F.size("_held") - back + 1), back)
         halo = (
             tails.select("_slice", held.alias("_held"))
-            .select("_slice", F.explode(F.slice("_held", F.greatest(F.lit(1), F.size("_held") - back + 1), back)).alias("_x"))
-            .select("_x._row.*", "_slice", F.lit(True).alias("_halo"))
+            .select(F.col("_slice").alias("_into"), F.explode(recent).alias("_x"))
+            .select("_x._row.*", "_into")
+            .withColumns({"_slice": F.col("_into"), "_halo": F.lit(True)})
+            .drop("_into")
         )
-        both = sliced.withColumn("_halo", F.lit(False)).unionByName(halo)
+        both = part.withColumn("_halo", F.lit(False)).unionByName(halo)
         spec = W.partitionBy(*key, "_slice").orderBy(*order)
-        return both.withColumns(build(spec)).where(~F.col("_halo")).drop("_halo", "_slice")
+        return both.withColumns(build(spec)).where(~F.col("_halo")).drop("_halo")
 
     return Op(plain, cut)
 
 
-def over_previous(df: DataFrame, key: list[str], ts: str, order: list[str], back: int, build, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
-    return apply(df, key, ts, [previous(key, ts, order, back, build, rows)], limit)
+def last_seen(key: list[str], order: list[str], value: str, name: str) -> Op:
+    """Add ``name``: the newest non-null ``value`` of the key up to and including the row."""
+
+    def last_over(spec: WindowSpec) -> Column:
+        return F.last(value, ignorenulls=True).over(spec.rowsBetween(W.unboundedPreceding, 0))
+
+    def plain(part: DataFrame) -> DataFrame:
+        return part.withColumn(name, last_over(W.partitionBy(*key).orderBy(*order)))
 
+    def cut(part: DataFrame) -> DataFrame:
+        newest = F.max_by(F.struct(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
+        ends = part.groupBy(*key, "_slice").agg(newest.alias("_end"))
+        before = W.partitionBy(*key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+        carry = ends.select(*key, "_slice", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+        joined = part.join(renamed(carry, [*key, "_slice"]), same([*key, "_slice"]), "left")
+        found = F.coalesce(last_over(W.partitionBy(*key, "_slice").orderBy(*order)), F.col(f"_carry.{value}"))
+        return joined.withColumn(name, found).select(*part.columns, name)
 
-def _divisors(n: int) -> list[int]:
-    return [d for d in range(n, 0, -1) if n % d == 0]
+    return Op(plain, cut)
 
 
-def trailing(key: list[str], ts: str, frames: dict[str, tuple[str, str | None, int]], rows: int = SLICE_ROWS) -> Op:
+def trailing(key: list[str], ts: str, frames: dict[str, tuple[str, str | None, int]]) -> Op:
     """Add aggregates over the last seconds, current second included.
 
-    ``frames`` maps a new column to (aggregate, value column, seconds); the aggregate is
-    ``sum``, ``count``, ``avg`` or ``max`` and ``count`` counts rows.
+    ``frames`` maps a new column to (aggregate, value column, seconds); the aggregate is ``sum``, ``count``,
+    ``avg`` or ``max``, and ``count`` counts rows.
     """
 
     def plain(part: DataFrame) -> DataFrame:
@@ -145,41 +163,31 @@ def trailing(key: list[str], ts: str, frames: dict[str, tuple[str, str | None, i
     def cut(part: DataFrame) -> DataFrame:
         lengths = sorted({seconds for _, _, seconds in frames.values()})
         values = sorted({value for _, value, _ in frames.values() if value})
-        per_second = (F.col("_t1") - F.col("_t0") + 1) / F.col("_n")
         unit = reduce(gcd, lengths)
-        width = F.coalesce(*[F.when(F.lit(float(d)) <= per_second * rows, F.lit(d)) for d in _divisors(unit)], F.lit(1))
-        own = part.withColumn("_c", width.cast("bigint"))
-        own = own.withColumn("_pane", F.floor(F.col(ts) / F.col("_c")))
-        # One row per key and second: halos and pane totals need no finer grain.
-        partial = [F.count(F.lit(1)).alias("_rows")]
+        pane = max(d for d in range(1, min(unit, PANE_SECONDS) + 1) if unit % d == 0)
+        made = {"_rows": F.count(F.lit(1))}
         for i, value in enumerate(values):
-            partial += [F.sum(value).alias(f"_s{i}"), F.count(value).alias(f"_k{i}"), F.max(value).alias(f"_m{i}")]
-        parts = ["_rows"] + [f"_{p}{i}" for i in range(len(values)) for p in "skm"]
+            made |= {f"_s{i}": F.sum(value), f"_k{i}": F.count(value), f"_m{i}": F.max(value)}
+        parts = list(made)
         combine = {c: (F.max if c.startswith("_m") else F.sum) for c in parts}
-        seconds = own.groupBy(*key, "_c", "_pane", ts).agg(*partial)
-
-        own = own.withColumn("_len", F.lit(0)).withColumn("_at", F.col(ts)).withColumn("_rows", F.lit(1).cast("bigint"))
-        for i, value in enumerate(values):
-            own = own.withColumns({f"_s{i}": F.col(value), f"_k{i}": F.col(value).isNotNull().cast("bigint"), f"_m{i}": F.col(value)})
-        shifts = F.explode(F.array(*[F.lit(s) for s in lengths])).alias("_len")
-        halo = seconds.select(*key, "_c", ts, *parts, "_pane", shifts)
-        halo = halo.withColumn("_pane", F.col("_pane") + F.floor(F.col("_len") / F.col("_c"))).withColumn("_at", F.col(ts) + F.col("_len"))
-        panes = seconds.groupBy(*key, "_c", "_pane").agg(*[combine[c](c).alias(c) for c in parts])
-        panes = panes.withColumn("_start", F.col("_pane") * F.col("_c"))
+        seconds = part.groupBy(*key, F.col(ts).alias("_at")).agg(*[c.alias(n) for n, c in made.items()])
+        own = seconds.withColumns({"_pane": F.floor(F.col("_at") / pane), "_len": F.lit(0)})
+        # The suffix of the oldest pane: its seconds move on by the frame's length and meet the rows they expire at.
+        halo = own.drop("_len").withColumn("_len", F.explode(F.array(*[F.lit(s) for s in lengths])))
+        halo = halo.withColumns({"_at": F.col("_at") + F.col("_len"), "_pane": F.col("_pane") + F.floor(F.col("_len") / pane)})
+        whole = own.groupBy(*key, "_pane").agg(*[combine[c](c).alias(c) for c in parts])
         for s in lengths:
-            inner = W.partitionBy(*key).orderBy("_start").rangeBetween(-(s - 1), -1)
-            panes = panes.withColumns({f"_in{s}{c}": combine[c](c).over(inner) for c in parts})
-        panes = panes.select(*key, "_pane", *[f"_in{s}{c}" for s in lengths for c in parts])
+            inner = W.partitionBy(*key).orderBy("_pane").rangeBetween(-(s // pane - 1), -1)
+            whole = whole.withColumns({f"_in{s}{c}": combine[c](c).over(inner) if s > pane else F.lit(None) for c in parts})
+        whole = renamed(whole.drop(*parts), [*key, "_pane"])
 
-        both = own.unionByName(halo, allowMissingColumns=True)
         prefix = W.partitionBy(*key, "_pane").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
         suffix = W.partitionBy(*key, "_pane").orderBy(F.col("_at").desc()).rangeBetween(W.unboundedPreceding, 0)
         ends = {f"_p{c}": combine[c](F.when(F.col("_len") == 0, F.col(c))).over(prefix) for c in parts}
         for s in lengths:
             ends |= {f"_x{s}{c}": combine[c](F.when(F.col("_len") == s, F.col(c))).over(suffix) for c in parts}
-        done = both.withColumns(ends).where(F.col("_len") == 0)
-        panes = panes.select(*[F.col(c).alias(f"_h_{c}") if c in [*key, "_pane"] else F.col(c) for c in panes.columns])
-        done = done.join(panes, _same([*key, "_pane"]), "left")
+        done = own.unionByName(halo).withColumns(ends).where(F.col("_len") == 0)
+        done = done.join(whole, same([*key, "_pane"]), "left")
 
         def total(c: str, s: int) -> Column:
             pieces = [F.col(f"_p{c}"), F.col(f"_in{s}{c}"), F.col(f"_x{s}{c}")]
@@ -189,109 +197,69 @@ def trailing(key: list[str], ts: str, frames: dict[str, tuple[str, str | None, i
 
         out = {}
         for name, (how, value, s) in frames.items():
+            i = values.index(value) if value else 0
             if how == "count":
                 out[name] = total("_rows", s)
-                continue
-            i = values.index(value)
-            some = total(f"_k{i}", s) > 0
-            if how == "sum":
-                out[name] = F.when(some, total(f"_s{i}", s))
-            elif how == "avg":
-                out[name] = F.when(some, total(f"_s{i}", s) / total(f"_k{i}", s))
-            else:
+            elif how == "max":
                 out[name] = total(f"_m{i}", s)
-        return done.select(*part.columns, *[c.alias(n) for n, c in out.items()])
-
-    return Op(plain, cut)
-
-
-def over_trailing(df: DataFrame, key: list[str], ts: str, frames: dict, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
-    return apply(df, key, ts, [trailing(key, ts, frames, rows)], limit)
-
-
-def last_seen(key: list[str], ts: str, order: list[str], value: str, name: str, rows: int = SLICE_ROWS) -> Op:
-    """Newest non-null ``value`` of the key up to and including the row, in ``order``."""
-
-    def last_over(spec: WindowSpec) -> Column:
-        return F.last(value, ignorenulls=True).over(spec.rowsBetween(W.unboundedPreceding, 0))
-
-    def plain(part: DataFrame) -> DataFrame:
-        return part.withColumn(name, last_over(W.partitionBy(*key).orderBy(*order)))
-
-    def cut(part: DataFrame) -> DataFrame:
-        sliced = with_slice(part, ts, rows)
-        newest = F.max_by(F.struct(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
-        ends = sliced.groupBy(*key, "_slice").agg(newest.alias("_end"))
-        before = W.partitionBy(*key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-        carry = ends.select(
-            *[F.col(c).alias(f"_h_{c}") for c in [*key, "_slice"]],
-            F.last("_end", ignorenulls=True).over(before).alias("_carry"),
-        )
-        joined = sliced.join(carry, _same([*key, "_slice"]), "left").drop(*[f"_h_{c}" for c in [*key, "_slice"]])
-        spec = W.partitionBy(*key, "_slice").orderBy(*order)
-        return joined.withColumn(name, F.coalesce(last_over(spec), F.col(f"_carry.{value}"))).drop("_carry", "_slice")
+            else:
+                mean = total(f"_s{i}", s) / total(f"_k{i}", s) if how == "avg" else total(f"_s{i}", s)
+                out[name] = F.when(total(f"_k{i}", s) > 0, mean)
+        result = renamed(done.select(*key, F.col("_at"), *[c.alias(n) for n, c in out.items()]), key)
+        # One result per key and second; AQE splits a crowded second on the row side of this join.
+        return part.join(result, same(key) & (F.col(ts) == F.col("_at")), "left").select(*part.columns, *out)
 
     return Op(plain, cut)
 
 
-def running_last(
-    df: DataFrame, key: list[str], ts: str, order: list[str], value: str, name: str, limit: int | None = None, rows: int = SLICE_ROWS
-) -> DataFrame:
-    return apply(df, key, ts, [last_seen(key, ts, order, value, name, rows)], limit)
-
-
 def distinct(key: list[str], ts: str, item: str, seconds: int, name: str, rows: int = SLICE_ROWS) -> Op:
-    """Number of distinct non-null ``item`` over the last ``seconds``, current second included."""
+    """Add ``name``: the number of distinct non-null ``item`` over the last ``seconds``, current second included."""
 
     def plain(part: DataFrame) -> DataFrame:
         spec = W.partitionBy(*key).orderBy(ts).rangeBetween(-seconds, 0)
         return part.withColumn(name, F.size(F.collect_set(item).over(spec)).cast("bigint"))
 
     def cut(part: DataFrame) -> DataFrame:
-        # An item counts from a sighting until `seconds` after it, unless seen again by then: +1 where such
-        # a stay begins, -1 just after it ends.  Repeats inside one second collapse before the shuffle, and
-        # the steps of a second collapse again, so a key has at most two rows per second of its time span.
-        seen = part.where(F.col(item).isNotNull()).groupBy(*key, item, ts).agg(
-            *[F.first(c).alias(c) for c in STATS]
-        )
+        # An item counts from a sighting until `seconds` after it, unless seen again by then: +1 where such a stay
+        # begins, -1 just after it ends.  Repeats inside a second collapse before the shuffle, and so do the steps
+        # of a second, so a key has at most two rows per second of its time span.
+        seen = part.where(F.col(item).isNotNull()).select(*key, item, ts).distinct()
         by_item = W.partitionBy(*key, item).orderBy(ts)
-        steps = seen.select(
-            *key, ts, "_n", "_t0", "_t1",
-            F.coalesce(F.col(ts) - F.lag(ts).over(by_item) > seconds, F.lit(True)).alias("_begin"),
-            F.coalesce(F.lead(ts).over(by_item) - F.col(ts) > seconds, F.lit(True)).alias("_end"),
-        ).select(
-            *key, "_n", "_t0", "_t1",
-            F.explode(
-                F.array(
-                    F.struct(F.col(ts).alias("_at"), F.col("_begin").cast("bigint").alias("_d")),
-                    F.struct((F.col(ts) + seconds + 1).alias("_at"), (-F.col("_end").cast("bigint")).alias("_d")),
-                )
-            ).alias("_step"),
-        ).where("_step._d <> 0")
-        marks = part.groupBy(*key, F.col(ts).alias("_at")).agg(*[F.first(c).alias(c) for c in STATS])
-        steps = (
-            steps.select(*key, "_n", "_t0", "_t1", "_step._at", "_step._d")
-            .unionByName(marks.withColumn("_d", F.lit(0).cast("bigint")))
-            .groupBy(*key, "_n", "_t0", "_t1", "_at")
-            .agg(F.sum("_d").alias("_d"))
+        arrives = F.coalesce(F.col(ts) - F.lag(ts).over(by_item) > seconds, F.lit(True))
+        leaves = F.coalesce(F.lead(ts).over(by_item) - F.col(ts) > seconds, F.lit(True))
+        stays = seen.select(*key, ts, arrives.cast("bigint").alias("_in"), leaves.cast("bigint").alias("_out"))
+        steps = F.array(
+            F.struct(F.col(ts).alias("_at"), F.col("_in").alias("_d")),
+            F.struct((F.col(ts) + seconds + 1).alias("_at"), (-F.col("_out")).alias("_d")),
         )
-        sliced = with_slice(steps, "_at", rows)
+        marks = part.select(*key, F.col(ts).alias("_at"), F.lit(0).cast("bigint").alias("_d"))
+        moves = stays.select(*key, F.explode(steps).alias("_s")).select(*key, "_s.*").where("_d <> 0").unionByName(marks)
+        moves = moves.groupBy(*key, "_at").agg(F.sum("_d").alias("_d"))
+        parts = max(1, part.select("_slice").agg(F.max("_slice")).first()[0] or 1)
+        sliced = write_table(moves.repartitionByRange(parts, *key, "_at").withColumn("_slice", F.spark_partition_id()))
         sums = sliced.groupBy(*key, "_slice").agg(F.sum("_d").alias("_d"))
         before = W.partitionBy(*key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-        carry = sums.select(
-            *[F.col(c).alias(f"_h_{c}") for c in [*key, "_slice"]],
-            F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_carry"),
-        )
+        carry = sums.select(*key, "_slice", F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_carry"))
         within = W.partitionBy(*key, "_slice").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
-        counts = sliced.join(carry, _same([*key, "_slice"]), "left").select(
-            *[F.col(c).alias(f"_k_{c}") for c in key], F.col("_at"), (F.col("_carry") + F.sum("_d").over(within)).alias(name)
-        )
-        counts = counts.withColumnsRenamed({f"_k_{c}": f"_h_{c}" for c in key})
-        joined = part.join(counts, _same(key) & (F.col(ts) == F.col("_at")), "left")
-        return joined.select(*part.columns, name)
+        joined = sliced.join(renamed(carry, [*key, "_slice"]), same([*key, "_slice"]), "left")
+        counts = joined.select(*key, "_at", (F.col("_carry") + F.sum("_d").over(within)).alias(name))
+        found = part.join(renamed(counts, key), same(key) & (F.col(ts) == F.col("_at")), "left")
+        return found.select(*part.columns, name)
 
     return Op(plain, cut)
 
 
+def over_previous(df: DataFrame, key: list[str], order: list[str], back: int, build, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
+    return apply(df, key, order, [previous(key, order, back, build)], limit, rows)
+
+
+def running_last(df: DataFrame, key: list[str], order: list[str], value: str, name: str, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
+    return apply(df, key, order, [last_seen(key, order, value, name)], limit, rows)
+
+
+def over_trailing(df: DataFrame, key: list[str], ts: str, frames: dict, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
+    return apply(df, key, [ts], [trailing(key, ts, frames)], limit, rows)
+
+
 def distinct_trailing(df: DataFrame, key: list[str], ts: str, item: str, seconds: int, name: str, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
-    return apply(df, key, ts, [distinct(key, ts, item, seconds, name, rows)], limit)
+    return apply(df, key, [ts], [distinct(key, ts, item, seconds, name)], limit, rows)

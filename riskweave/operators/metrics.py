@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from riskweave.operators.frames import SLICE_ROWS, Op, apply, over_trailing, previous, trailing
 from riskweave.operators.ranks import order_statistics
 
+SAMPLE_ORDER = ["ts_long", "seq"]
+
 # Histogram edges in use.
 LATENCY_MS = [1, 5, 10, 20, 50, 100, 200]
 PAYLOAD_BYTES = [256, 512, 1024, 2048, 4096, 8192, 16384, 65536]
@@ -76,17 +78,17 @@ def _grown(column: str, w: WindowSpec) -> Column:
     return F.when(before.isNull(), 0.0).otherwise(up.cast("double"))
 
 
-def _steps(series: list[str], columns: dict[str, str], rows: int) -> Op:
+def _steps(series: list[str], columns: dict[str, str]) -> Op:
     """Growth of each counter column since the previous sample, under the given new name."""
-    return previous(series, "ts_long", ["ts_long", "seq"], 1, lambda w: {new: _grown(c, w) for c, new in columns.items()}, rows)
+    return previous(series, SAMPLE_ORDER, 1, lambda w: {new: _grown(c, w) for c, new in columns.items()})
 
 
 def counter_increase(
     samples: DataFrame, series: list[str], range_s: int, out: str = "increase", limit: int | None = None, rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Growth of a counter over the trailing range; a drop means a restart from zero."""
-    ops = [_steps(series, {"value": "_grown"}, rows), trailing(series, "ts_long", {out: ("sum", "_grown", range_s)}, rows)]
-    return apply(samples, series, "ts_long", ops, limit).drop("_grown")
+    ops = [_steps(series, {"value": "_grown"}), trailing(series, "ts_long", {out: ("sum", "_grown", range_s)})]
+    return apply(samples, series, SAMPLE_ORDER, ops, limit, rows).drop("_grown")
 
 
 def counter_rate(samples: DataFrame, series: list[str], range_s: int, **cut) -> DataFrame:
@@ -107,8 +109,8 @@ def mean_from_counters(
 ) -> DataFrame:
     """Mean over the trailing range from a sum counter and a count counter; null where nothing was counted."""
     frames = {"_rs": ("sum", "_ds", range_s), "_rc": ("sum", "_dc", range_s)}
-    ops = [_steps(series, {sum_col: "_ds", count_col: "_dc"}, rows), trailing(series, "ts_long", frames, rows)]
-    out = apply(samples, series, "ts_long", ops, limit)
+    ops = [_steps(series, {sum_col: "_ds", count_col: "_dc"}), trailing(series, "ts_long", frames)]
+    out = apply(samples, series, SAMPLE_ORDER, ops, limit, rows)
     return out.withColumn("mean", F.try_divide("_rs", "_rc")).drop("_ds", "_dc", "_rs", "_rc")
 
 
@@ -127,8 +129,8 @@ def run_summary(df: DataFrame) -> DataFrame:
         F.round(F.when(spent > 0, F.count(F.lit(1)) / spent).otherwise(0.0), 2).alias("req_per_sec"),
         F.round(F.avg("duration_ms"), 2).alias("latency_avg_ms"),
     )
-    at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))
-    marks = order_statistics(df, "duration_ms", {"p50": at(0.5), "p95": at(0.95)})
+    at = lambda n, p: F.least(n - 1, F.floor(n * F.lit(p)))
+    marks = order_statistics(df, "duration_ms", lambda n: {"p50": at(n, 0.5), "p95": at(n, 0.95)})
     # Both sides are single rows.
     return totals.crossJoin(F.broadcast(marks)).select(
         *totals.columns, F.round("p50", 2).alias("latency_p50_ms"), F.round("p95", 2).alias("latency_p95_ms")

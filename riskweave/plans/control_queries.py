@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import controls, ml
 from riskweave.plans.registry import query
-from riskweave.plans.views import TX, scored, tx, with_sql
+from riskweave.plans.views import TX, cut_all, scored, tx, with_sql
 from riskweave.sources.tables import table
 
 ORDER = ["ts", "event_id"]
@@ -54,8 +54,8 @@ def dedup_day(spark, sf):
 
 @query("x4_dedup_ttl_1day_cut_keys", ttl_sql(86_400))
 def dedup_cut(spark, sf):
-    """The same with every key above ten rows cut into slices of about four rows."""
-    return controls.dedup_ttl(stamped(spark, sf), ["idem"], ORDER, 86_400, limit=10, rows=4).select("event_id", "accepted")
+    """The same with every key above ten rows cut into slices."""
+    return controls.dedup_ttl(stamped(spark, sf), ["idem"], ORDER, 86_400, **cut_all(spark, sf, 10)).select("event_id", "accepted")
 
 
 @query(
@@ -102,8 +102,8 @@ def token_bucket(spark, sf):
 
 @query("x6_token_bucket_cut_keys", BUCKET_SQL)
 def token_bucket_cut(spark, sf):
-    """The same with every account above 30 rows cut into slices of about ten rows."""
-    out = controls.token_bucket(stamped(spark, sf), ["account_id"], ORDER, 3, 0.002, limit=30, rows=10)
+    """The same with every account above 30 rows cut into slices."""
+    out = controls.token_bucket(stamped(spark, sf), ["account_id"], ORDER, 3, 0.002, **cut_all(spark, sf))
     return out.select("event_id", "allowed", "tokens")
 
 

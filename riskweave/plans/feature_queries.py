@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import numbers, privacy, times
 from riskweave.operators import asof, features, validate
 from riskweave.plans.registry import query
-from riskweave.plans.views import TX, tx, with_sql
+from riskweave.plans.views import TX, cut_all, tx, with_sql
 from riskweave.schema import FEATURE_RANGES, MODEL_FEATURES
 from riskweave.sources.tables import table
 
@@ -90,8 +90,8 @@ def vector_features(spark, sf):
 
 @query("w1_to_w6_vector_features_cut_accounts", VECTOR_SQL)
 def vector_features_cut(spark, sf):
-    """The same columns with every account above 30 rows cut into slices and panes of about eight rows."""
-    return vector_columns(features.stream_vector_features(tx(spark, sf), limit=30, rows=8))
+    """The same columns with every account above 30 rows cut into slices and panes."""
+    return vector_columns(features.stream_vector_features(tx(spark, sf), **cut_all(spark, sf)))
 
 
 @query(
@@ -105,7 +105,7 @@ def vector_features_cut(spark, sf):
     ),
 )
 def model_features_cut(spark, sf):
-    made = features.model_features(tx(spark, sf), limit=30, rows=8, receivers=True)
+    made = features.model_features(tx(spark, sf), receivers=True, **cut_all(spark, sf))
     return made.select(
         "transaction_id", "transaction_frequency_30min", "transactions_last_24h", "login_ip_changed_last_hour", "time_since_last_tx",
         "unique_receivers_24h", F.round("avg_transaction_amount_24h", 6).alias("avg_transaction_amount_24h"),
@@ -161,9 +161,9 @@ def asof_stats(spark, sf):
 
 @query("j2_asof_stats_cut_accounts", ASOF_SQL)
 def asof_stats_cut(spark, sf):
-    """The same with every account above 50 rows cut into slices that hand their last value on."""
+    """The same with every account above 30 rows cut into slices that hand their last value on."""
     t = tx(spark, sf)
-    return rounded_stats(asof.asof_stats(t, features.window_stats(t), limit=50), "transaction_id", "window_end")
+    return rounded_stats(asof.asof_stats(t, features.window_stats(t), **cut_all(spark, sf)), "transaction_id", "window_end")
 
 
 # Scalars.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import alerts, drift, evaluate, logs, metrics
 from riskweave.plans.registry import query
-from riskweave.plans.views import COUNTERS, DRIFT_BASE, REQUESTS, SCORED, TX, counters, drift_base, requests, scored, tx, with_sql
+from riskweave.plans.views import COUNTERS, DRIFT_BASE, REQUESTS, SCORED, TX, counters, cut_all, drift_base, requests, scored, tx, with_sql
 from riskweave.sources.tables import table
 
 DAY = 86_400
@@ -103,8 +103,8 @@ def counter_increase(spark, sf):
 
 @query("a6_counter_increase_cut_series", INCREASE_SQL)
 def counter_increase_cut(spark, sf):
-    """The same with the five series cut into slices and panes of about 200 samples."""
-    return metrics.counter_increase(counters(spark, sf), ["name"], DAY, limit=100, rows=200).select("name", "seq", "increase")
+    """The same with the five series cut into slices and panes."""
+    return metrics.counter_increase(counters(spark, sf), ["name"], DAY, **cut_all(spark, sf)).select("name", "seq", "increase")
 
 
 @query("a6_counter_rate", with_sql(TX, COUNTERS, GROWN, body=f"SELECT name, seq, round(sum(g) OVER {ago('name', DAY)} / 86400.0::DOUBLE, 9) AS rate FROM grown"))
@@ -432,8 +432,8 @@ def eval_alerts(spark, sf):
 
 @query("x9_eval_alerts_cut_series", ALERT_SQL)
 def eval_alerts_cut(spark, sf):
-    """The same with the series cut into slices and panes of about 300 samples."""
-    return evaluated(spark, sf, limit=200, rows=300)
+    """The same with the series cut into slices and panes."""
+    return evaluated(spark, sf, **cut_all(spark, sf))
 
 
 # Latency buckets: cumulative counters per scrape, slower in every other block of 1,000 ids.

@@ -9,7 +9,7 @@ from riskweave.operators import drift, graph, logs, metrics, ml
 from riskweave.operators.features import ORDER
 from riskweave.operators.validate import route_dlq
 from riskweave.plans.registry import query
-from riskweave.plans.views import REQUESTS, TX, requests, tx, with_sql
+from riskweave.plans.views import REQUESTS, TX, cut_all, requests, tx, with_sql
 from riskweave.sources import messages, store
 from riskweave.sources.tables import load_training, table
 
@@ -163,7 +163,7 @@ def kv_lookup(spark, sf):
 
 @query("s14_kv_lookup_cut_keys", KV_SQL)
 def kv_lookup_cut(spark, sf):
-    return lookups(spark, sf, limit=40)
+    return lookups(spark, sf, **cut_all(spark, sf))
 
 
 def baseline_docs(spark, sf):

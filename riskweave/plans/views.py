@@ -123,5 +123,10 @@ DRIFT_BASE = """drift_base AS (
   FROM (VALUES ('amount', [0, 15, 35, 70, 150]), ('k', [0, 25, 50, 75, 100])) b(feature, edges), range(4) r(i))"""
 
 
+def cut_all(spark: SparkSession, sf: str, limit: int = 30) -> dict[str, int]:
+    """Options that send every key above ``limit`` rows through the hot-key form, in about 32 slices whatever the scale."""
+    return {"limit": limit, "rows": max(100, table(spark, sf, "events").count() // 32)}
+
+
 def with_sql(*parts: str, body: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body

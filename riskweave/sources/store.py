@@ -66,8 +66,8 @@ def jitter_ttl(ttl: Column, pct: float = 0.1, seed: int = 0) -> Column:
     return F.greatest(F.lit(1), ttl + F.floor(ttl * pct * F.rand(seed))).cast("bigint")
 
 
-def kv_lookup(probes: DataFrame, puts: DataFrame, ts: str = "probe_ts", tie: str = "seq", limit: int | None = None) -> DataFrame:
+def kv_lookup(probes: DataFrame, puts: DataFrame, ts: str = "probe_ts", tie: str = "seq", **cut) -> DataFrame:
     """Value a reader sees at the probe's time: the newest write, if it has not expired by then."""
-    found = asof_join(probes, puts, ["key"], ts, "put_ts", ["value", "put_ts", "expires_at"], tie, limit)
+    found = asof_join(probes, puts, ["key"], ts, "put_ts", ["value", "put_ts", "expires_at"], tie, **cut)
     alive = F.col(ts) < F.col("expires_at")
     return found.withColumn("value", F.when(alive, F.col("value"))).drop("put_ts", "expires_at")

@@ -62,8 +62,8 @@ def split(df: DataFrame, key: list[str], order: list[str], limit: int | None, ro
     total = hot.agg(F.sum("_n")).first()[0]
     if total is None:
         return Split(df, None)
-    # Spark broadcasts the hot list only when it measures it small.
-    hot = renamed(hot.drop("_n"), key)
+    # Written once, read by both joins; Spark broadcasts the list only when it measures it small.
+    hot = renamed(write_table(hot.drop("_n")), key)
     cold = df.join(hot, same(key), "left_anti")
     drop = [f"_h_{k}" for k in key]
     # Range partitioning splits any crowd, down to rows of one instant.  Writing the slice numbers fixes them.

@@ -129,8 +129,8 @@ def run_summary(df: DataFrame) -> DataFrame:
         F.round(F.when(spent > 0, F.count(F.lit(1)) / spent).otherwise(0.0), 2).alias("req_per_sec"),
         F.round(F.avg("duration_ms"), 2).alias("latency_avg_ms"),
     )
-    at = lambda n, p: F.least(n - 1, F.floor(n * F.lit(p)))
-    marks = order_statistics(df, "duration_ms", lambda n: {"p50": at(n, 0.5), "p95": at(n, 0.95)})
+    at = lambda p: (p, lambda n: F.least(n - 1, F.floor(n * F.lit(p))))
+    marks = order_statistics(df, "duration_ms", {"p50": at(0.5), "p95": at(0.95)})
     # Both sides are single rows.
     return totals.crossJoin(F.broadcast(marks)).select(
         *totals.columns, F.round("p50", 2).alias("latency_p50_ms"), F.round("p95", 2).alias("latency_p95_ms")

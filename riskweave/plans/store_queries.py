@@ -282,7 +282,7 @@ def latest_per(spark, sf):
     return store.latest_per(tx(spark, sf), "account_id", 3, ts=ORDER[0], tie=ORDER[1]).select("account_id", "transaction_id", "rank")
 
 
-@query("l3_background")
+@query("l3_background", "SELECT vec_id, label FROM embeddings ORDER BY md5(concat('11:', CAST(vec_id AS VARCHAR))), vec_id LIMIT 100")
 def background(spark, sf):
     return ml.background(table(spark, sf, "embeddings"), 100, "vec_id", seed=11).select("vec_id", "label")
 

@@ -55,9 +55,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back.
 
     Lost executors then cost no recomputation, several readers share one computation, and unlike a checkpointed
-    RDD the table keeps column pruning and size statistics.
+    RDD the table keeps column pruning and size statistics.  Tables of one application share a folder, which may be
+    dropped when the application is done.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/riskweave-tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/riskweave-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

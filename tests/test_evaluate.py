@@ -38,10 +38,23 @@ def test_quantile_equals_numpy(spark, q):
 
 def test_rank_when_one_value_holds_most_rows(spark):
     df = spark.createDataFrame([(7.0,)] * 300 + [(float(i),) for i in range(7)], "v double")
-    got = ranks.order_statistics(df, "v", lambda n: {"a": F.lit(6), "b": F.lit(7), "c": n - 1}).first()
+    got = ranks.order_statistics(df, "v", {"a": (0.02, lambda n: F.lit(6)), "b": (0.5, lambda n: F.lit(7)), "c": (1.0, lambda n: n - 1)}).first()
     assert (got["a"], got["b"], got["c"], got["n"]) == (6.0, 7.0, 7.0, 307)
 
 
+def test_fences_hold_every_rank(spark):
+    values = sorted(random.Random(8).gauss(0, 1) ** 3 for _ in range(4000))
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    for share in (0.001, 0.004, 0.25, 0.9, 0.997, 0.9999):
+        got = ranks.order_statistics(df, "v", {"x": (share, lambda n: F.floor(n * share))}).first()
+        assert got["x"] == values[int(4000 * share)]
+
+
+def test_order_statistics_of_nothing(spark):
+    got = ranks.order_statistics(spark.createDataFrame([(None,)], "v double"), "v", {"x": (0.5, lambda n: n)}).first()
+    assert tuple(got) == (0, None)
+
+
 def test_sweep_against_brute_force(spark):
     df, rows = scored(spark, 300, 2)
     out = {r["i"]: (r["tp"], r["fp"], r["fn"]) for r in evaluate.sweep(df, "y", "p").collect()}

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from riskweave.operators import drift, evaluate, ranks
 
 
+@pytest.fixture(params=[ranks.FEW, 5], autouse=True)
+def few(request, monkeypatch):
+    """Every test runs with one ranking task and with many."""
+    monkeypatch.setattr(ranks, "FEW", request.param)
+
+
 def scored(spark, n=500, seed=1):
     rng = random.Random(seed)
     rows = [(rng.randrange(2), round(rng.random(), 2)) for _ in range(n)]

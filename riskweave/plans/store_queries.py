@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskweave.functions.times import iso_ts
 from riskweave.operators import drift, graph, logs, metrics, ml
 from riskweave.operators.features import ORDER
 from riskweave.operators.validate import route_dlq

@@ -43,9 +43,16 @@ def build(app: str = "riskweave", master: str | None = None, **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a single-machine session (master ``local[...]``, as in tests) gets a temporary folder; on a
+    cluster executors would each write to their own disk, so a missing setting is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="riskweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.packing import Chunk, deal, list_rows, lists, pack, parts, signed
-from riskweave.llm.text import NULL_ID, Hasher, U, stream
+from riskweave.llm.packing import Chunk, deal, list_rows, lists, pack, parts, signed, spans
+from riskweave.llm.text import NULL_ID, Hasher, U, by_word, stream
 from riskweave.session import cut
 
 CLASSES = 1 << 16
@@ -63,7 +63,7 @@ class Pairs:
         before[1:] = token[:-1]
         before[self.first[:-1]] = U(START)
         context = ((before >> U(40)) % U(CLASSES)).astype(np.int32)
-        order = np.lexsort((context, token))
+        order = by_word(token, context)
         w, c = token[order], context[order]
         new = np.ones(total, bool)
         new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
@@ -87,12 +87,6 @@ class Pairs:
             yield b, p, spans(self.begin[p], self.size[p])
 
 
-def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The positions begin[i] .. begin[i] + size[i] - 1 of all i in a row."""
-    edge = np.cumsum(size)
-    return np.arange(edge[-1] if len(edge) else 0) + np.repeat(begin - (edge - size), size)
-
-
 def seat(count: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish after its ``count`` customers sat down; ``mass`` is what a new table weighs."""
     tables = (count > 0).astype(np.int64)
@@ -108,11 +102,10 @@ def seat(count: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Ge
     return tables
 
 
-class Totals:
-    """What a sweep leaves for all: tables and customers per context, customers and tables of the parent."""
-
-    def __init__(self, tables, parent_customers, parent_tables):
-        self.tables, self.parent_customers, self.parent_tables = tables, parent_customers, parent_tables
+def left_over(tables, customers, parent_tables) -> dict:
+    """What a sweep leaves for all: tables per context, customers and tables of the parent (plain values, as they are
+    broadcast to workers that don't have this package)."""
+    return {"tables": tables, "customers": customers, "parent_tables": parent_tables}
 
 
 class Bucket:
@@ -127,25 +120,25 @@ class Bucket:
     def per_word(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.first) if len(self.k) else np.zeros(0, values.dtype)
 
-    def sweep(self, number: int, totals: Totals, fixed: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sweep(self, number: int, totals: dict, fixed: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tables per pair, parent customers per word, parent tables per word)."""
         rng = np.random.default_rng([SEED, number, self.bucket])
         d, d0, s, s0, h = (fixed[x] for x in ("d", "d0", "strength", "strength", "base"))
         tables = (self.count > 0).astype(np.int64)
         for _ in range(2):
             customers = self.per_word(tables)
-            mass0 = np.full(len(customers), (s0 + d0 * totals.parent_tables) * h)
+            mass0 = np.full(len(customers), (s0 + d0 * totals["parent_tables"]) * h)
             parent = seat(customers, mass0, d0, rng)
             p0 = parent_probability(customers, parent, totals, fixed)
-            tables = seat(self.count, (s + d * totals.tables[self.context]) * p0[self.word_of], d, rng)
+            tables = seat(self.count, (s + d * totals["tables"][self.context]) * p0[self.word_of], d, rng)
         customers = self.per_word(tables)
         return tables, customers, seat(customers, mass0, d0, rng)
 
 
-def parent_probability(customers, tables, totals: Totals, fixed: dict) -> np.ndarray:
+def parent_probability(customers, tables, totals: dict, fixed: dict) -> np.ndarray:
     d0, s0 = fixed["d0"], fixed["strength"]
-    n = s0 + totals.parent_customers
-    return np.maximum(customers - d0 * tables, 0) / n + (s0 + d0 * totals.parent_tables) / n * fixed["base"]
+    n = s0 + totals["customers"]
+    return np.maximum(customers - d0 * tables, 0) / n + (s0 + d0 * totals["parent_tables"]) / n * fixed["base"]
 
 
 def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -179,7 +172,7 @@ def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.
         size = lists(table, "k", np.int64)
         words = np.concatenate([np.repeat(w, k) for w, k in zip(lists(table, "w"), size)]).view(U)
         context, number = np.concatenate(lists(table, "context")), np.concatenate(lists(table, "count"))
-        order = np.lexsort((context, words))
+        order = by_word(words, context)
         w, c = words[order], context[order]
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
@@ -224,7 +217,7 @@ def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.
     customers, tables, whole = gathered(start)
     train, known, n1, n2, m1, m2, opened = (whole.get(i, 0) for i in range(7))
     fixed = {"d": discount(n1, n2), "d0": discount(m1, m2), "strength": strength, "base": 1.0 / (known + 1)}
-    history = [Totals(tables, opened, known)]
+    history = [left_over(tables, opened, known)]
     for number in range(burn + samples):
         totals = spark.sparkContext.broadcast(history[-1])  # CLASSES numbers
 
@@ -235,7 +228,7 @@ def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.
                 yield sums(x.context, t, t, [int(c0.sum()), int(t0.sum())])
 
         tables, _, whole = gathered(sweep)
-        history.append(Totals(tables, whole.get(0, 0), whole.get(1, 0)))
+        history.append(left_over(tables, whole.get(0, 0), whole.get(1, 0)))
     past = spark.sparkContext.broadcast((history, customers))
     answer = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("lp", F32), ("seen", I64)])
 
@@ -249,7 +242,7 @@ def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.
                 t, c0, t0 = x.sweep(number, done[number], fixed)
                 now = done[number + 1]
                 p0 = parent_probability(c0, t0, now, fixed)
-                p += (np.maximum(x.count - fixed["d"] * t, 0) + (strength + fixed["d"] * now.tables[x.context]) * p0[x.word_of]) / n_context
+                p += (np.maximum(x.count - fixed["d"] * t, 0) + (strength + fixed["d"] * now["tables"][x.context]) * p0[x.word_of]) / n_context
             lp = np.log10(p / samples)
             seen = x.per_word(x.count)
             rows = []

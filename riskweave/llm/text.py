@@ -113,9 +113,9 @@ class Hasher:
             marks = np.sort(np.concatenate([marks, cut, cut]))
         return marks[0::2], marks[1::2]
 
-    def words(self, data: np.ndarray, offsets: np.ndarray) -> Words:
-        start, end = self.spans(data, offsets)
-        hashes = np.empty(len(start), U)
+    def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of each span of ``data``; spans are in order and don't overlap."""
+        out = np.empty(len(start), U)
         at = 0
         while at < len(start):
             base = start[at]
@@ -126,9 +126,13 @@ class Hasher:
             sums[0] = 0
             np.cumsum(self.table[data[base : base + size]] * self.power[:size], out=sums[1:])
             s, e = start[at:to] - base, end[at:to] - base
-            hashes[at:to] = mix((sums[e] - sums[s]) * self.inverse[s])
+            out[at:to] = mix((sums[e] - sums[s]) * self.inverse[s])
             at = to
-        return Words(start, end, hashes, np.searchsorted(start, offsets))
+        return out
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> Words:
+        start, end = self.spans(data, offsets)
+        return Words(start, end, self.hashes(data, start, end), np.searchsorted(start, offsets))
 
 
 def grams(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
@@ -143,6 +147,41 @@ def grams(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix(out + U(k))
 
 
+def wide(hashes: np.ndarray, k: int, salts: tuple[int, ...]) -> list[np.ndarray]:
+    """One hash of every ``k`` >= 4 consecutive words per salt, from hashes of four words each."""
+    four, n = grams(hashes, 4), len(hashes) - k + 1
+    if n <= 0:
+        return [np.zeros(0, U) for _ in salts]
+    places = [*range(0, k - 3, 4), *([k - 4] if k % 4 else [])]
+    out = []
+    for salt in salts:
+        factors = stream(200 + salt, len(places)) | U(1)
+        total = four[:n] * factors[0]
+        for place, factor in zip(places[1:], factors[1:]):
+            total += four[place : place + n] * factor
+        out.append(mix(total + U(k)))
+    return out
+
+
+def least(values: np.ndarray, k: int) -> np.ndarray:
+    """Smallest of every ``k`` consecutive values."""
+    size = 1
+    while 2 * size <= k:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return np.minimum(values[: len(values) - (k - size)], values[k - size :]) if size < k else values
+
+
+def by_word(words: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """An order by word and context (below 2**16), with equal words together."""
+    high = words & ~U(0xFFFF)
+    order = np.argsort(high | context.astype(U))
+    w, h = words[order], high[order]
+    if ((h[1:] == h[:-1]) & (w[1:] != w[:-1])).any():  # two words that differ in the low bits only
+        return np.lexsort((context, words))
+    return order
+
+
 def inside(first: np.ndarray, k: int) -> np.ndarray:
     """Which of the ``grams`` positions lie in one text."""
     total = int(first[-1])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.text import id_array, ids, pieces
 
-CHUNK = 16 << 20  # bytes of text in a chunk and, likewise, in what a bucket of hashes stands for
+CHUNK = 12 << 20  # bytes of text in a chunk and, likewise, in what a bucket of hashes stands for
 
 
 def parts(docs: DataFrame, text: str = "text", size: int = CHUNK) -> int:

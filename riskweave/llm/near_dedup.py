@@ -5,8 +5,9 @@ smallest hash; an empty bin borrows from the non-empty bin that comes first in t
 read in bands of ``ROWS``; documents that agree on a band share a bucket.  A bucket never yields all its pairs:
 
 1. every member is compared with the bucket's smallest document only (a star), and confirmed links are contracted;
-2. members that are still outside the largest component of their bucket ("strays") become centres themselves, at most
-   ``STRAYS`` per bucket and round, against the members of other components, until no bucket has an untested stray.
+2. members that are still outside the largest component of their bucket ("strays") are compared with all its members of
+   other components in blocks, on sketches of the 256 lowest hashes; only pairs within five standard deviations of the
+   similarity come out.
 
 So every two documents that share a bucket are compared or already connected.  With 42 bands of 6 bins a pair at
 similarity 0.8 shares no bucket with probability 3e-6.  Candidates are confirmed on full shingle sets.  Documents with
@@ -26,16 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from riskweave.llm.graph import components
-from riskweave.llm.packing import list_rows, signed
+from riskweave.llm.packing import list_rows, lists, signed
 from riskweave.llm.text import Hasher, U, buffers, mix, pieces, shingles, stream
 from riskweave.session import cut
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
-STRAYS = 64
+SKETCH, MEMBERS, STRAYS = 256, 1024, 256  # values of a sketch; members and strays in a unit
 
 
 class Sketch:
@@ -109,6 +109,71 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def matches(x: np.ndarray, full: bool, sketches: np.ndarray, first: np.ndarray, complete: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets, whose sketches lie one after another from ``first`` on, may meet the similarity with set ``x``.
+
+    A sketch is the ascending lowest hashes of a set, or all of them.  The share of common values up to the lower of the
+    two upper ends estimates the similarity; five standard deviations are allowed for, and one step of rounding.
+    """
+    last = np.append(first[1:], len(sketches)) - 1
+    top = np.where(complete, np.uint32(0xFFFFFFFF), sketches[last])
+    top = np.minimum(top, np.uint32(0xFFFFFFFF) if full else x[-1])
+    low = sketches <= np.repeat(top, last - first + 1)
+    hit = low & (x[np.minimum(np.searchsorted(x, sketches), len(x) - 1)] == sketches)
+    both = np.add.reduceat(hit.astype(np.int64), first)
+    either = np.searchsorted(x, top, side="right") + np.add.reduceat(low.astype(np.int64), first) - both
+    share = percent / 100
+    slack = np.where(complete & full, 0.0, 5 * np.sqrt(share * (1 - share) / np.maximum(either, 1)))
+    return both >= (share - slack) * either - 1
+
+
+def strays(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) across components: every member of a bucket that lies outside the bucket's largest component
+    against all members of other components, by sketches of ``SKETCH`` values.
+
+    No pair is formed by a join: members and strays of a bucket go in blocks to units of bounded size, are compared there,
+    and only likely pairs come out.  Small buckets share a unit.
+    """
+    now = shared.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")
+    )
+    sizes = now.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("m"), F.max("size").alias("top"), F.count("*").alias("many"))
+    main = main.where("many > 1").withColumns({"nb": F.ceil(F.col("m") / MEMBERS), "ns": F.ceil((F.col("m") - F.col("top")) / STRAYS)})
+    split = cut(now.join(main, "key").withColumn("stray", F.col("comp") != F.col("main")))
+    units = max(split.count() // (4 * MEMBERS), 1)
+    sketch = F.transform(F.slice("s", 1, SKETCH), lambda x: F.shiftright(x, 32).cast("int"))
+    rows = split.select("key", "doc_id", "n", "comp", "stray", "nb", "ns").join(sets.select("doc_id", sketch.alias("s")), "doc_id")
+    place = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    unit = F.concat_ws(":", F.pmod(F.xxhash64("key"), F.lit(units)), F.when(F.col("nb") * F.col("ns") > 1, F.col("key")), "i", "j")
+    left = rows.where("stray").withColumn("i", place(1, "ns")).withColumn("j", every("nb")).withColumn("centre", F.lit(True))
+    right = rows.withColumn("j", place(2, "nb")).withColumn("i", every("ns")).withColumn("centre", F.lit(False))
+    dealt = left.unionByName(right).select(unit.alias("unit"), "key", "doc_id", "n", "comp", "centre", "s")
+    wire = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, doc, n, comp, centre = (table[c].to_numpy() for c in ("key", "doc_id", "n", "comp", "centre"))
+        cells = lists(table, "s", np.int32)
+        out = []
+        order = np.argsort(key, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            others = rows[~centre[rows]]
+            if not len(others):
+                continue
+            own = [cells[r].view(np.uint32) for r in others]
+            flat = np.concatenate(own)
+            first = np.cumsum([0, *map(len, own[:-1])])
+            for r in rows[centre[rows]].tolist():
+                ok = matches(cells[r].view(np.uint32), n[r] <= SKETCH, flat, first, n[others] <= SKETCH, percent) & (comp[others] != comp[r])
+                ok &= 100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r])
+                out += [(min(doc[r], d), max(doc[r], d)) for d in doc[others[ok]].tolist()]
+        out = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+        return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], schema=wire)
+
+    return dealt.groupBy("unit").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def grouped(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``table`` (doc_id, n_shingles, set_key, keys): documents that
     share a key are compared as described above, on the shingle sets of ``docs`` (doc_id, text)."""
@@ -124,34 +189,8 @@ def grouped(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFram
     sets = cut(shingle_sets(texts, k).dropDuplicates(["doc_id"]))
 
     links = cut(confirmed(shared.where("doc_id > c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct(), sets, percent))
-    labels = components(links)
-    near = (F.least("n", "m") * 100) >= (F.greatest("n", "m") * percent)
-    tested = None  # (key, upto): strays up to this document have been centres of this bucket
-    while True:
-        now = shared.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")
-        )
-        sizes = now.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("many")).where("many > 1")
-        split = now.join(main.select("key", "main"), "key")
-        stray = split.where("comp <> main")
-        if tested is not None:
-            stray = stray.join(tested, "key", "left").where("upto is null or doc_id > upto")
-        order = W.partitionBy("key").orderBy("doc_id")
-        centres = cut(stray.select("key", "doc_id", "n", "comp", F.row_number().over(order).alias("rank")).where(F.col("rank") <= STRAYS))
-        if centres.isEmpty():
-            break
-        one = centres.select("key", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("comp").alias("cx"))
-        pairs = (
-            split.join(one, "key").where((F.col("comp") != F.col("cx")) & near)
-            .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-        )
-        more = cut(confirmed(pairs, sets, percent))
-        upto = centres.groupBy("key").agg(F.max("doc_id").alias("upto"))
-        tested = cut(upto if tested is None else tested.union(upto).groupBy("key").agg(F.max("upto").alias("upto")))
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+    more = cut(confirmed(strays(shared, components(links), sets, percent), sets, percent))
+    labels = components(links.union(more))
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("set_key", F.coalesce("component", "rep").alias("component_id"))
     return (

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import bpe, chat, classifier, fingerprint, mixing, near_dedup, pitman_yor, quality_rules, substring, token_counts
-from riskweave.llm.oracle import MIX, NEAR, REPEATS, RULES_SQL, TURNS
+from riskweave.llm.oracle import NEAR, REPEATS, RULES_SQL, TURNS, mix_sql
 from riskweave.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +25,7 @@ MIX_FRACTION, MIX_EPOCHS = 0.5, 2
 
 def domain():
     """The domain of a source: src0 to src4 are core, src5 to src14 web, all else rest."""
-    number = F.regexp_extract(F.coalesce("source", F.lit("")), "^src([0-9]{1,9})$", 1).cast("int")
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "^src([0-9]{1,9})$", 1).try_cast("int")
     return F.when(number < 5, "core").when(number < 15, "web").otherwise("rest")
 
 
@@ -75,7 +75,7 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(table(spark, sf_dir, "documents"), bpe.read_ranks(RANKS), PATTERN)
 
 
-@query("op5_mixing", MIX)
+@query("op5_mixing", mix_sql(WEIGHTS, MIX_FRACTION, MIX_EPOCHS))
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     taken = mixing.mix(docs, weights(spark), MIX_FRACTION, domain(), epochs=MIX_EPOCHS)

@@ -13,7 +13,8 @@ from riskweave.operators.metrics import SAMPLE_ORDER, counter_increase, histogra
 
 @dataclass(frozen=True)
 class Rule:
-    """``kind``: value, increase, rate, max or quantile; ``metric`` is an anchored regular expression."""
+    """``kind``: value, increase, rate, max, quantile or ratio; ``metric`` is an anchored regular expression, ``status`` one
+    that the sample's ``status`` label has to match, ``over`` the metric of a ratio's denominator."""
 
     name: str
     metric: str
@@ -23,27 +24,29 @@ class Rule:
     hold_s: int
     range_s: int = 300
     q: float = 0.95
+    status: str = ""
+    over: str = ""
 
 
 # The served rules.
 RULES = [
-    Rule("BackendHighLatencyP95", "request_latency_ms", "quantile", ">", 60, 300),
-    Rule("InferenceHighLatencyP95", "inference_latency_ms", "quantile", ">", 60, 300),
-    Rule("ErrorsSpikeGeneric", "http_5xx_total", "rate", ">", 5, 120),
-    Rule("BackendErrorsSpike", "backend_5xx_total", "increase", ">", 5, 120),
-    Rule("InferenceErrorsSpike", "inference_5xx_total", "increase", ">", 5, 120),
-    Rule("AuthFailures", "auth_failures_total|inference_auth_failures_total", "increase", ">", 0, 60),
-    Rule("ModelIntegrityFailure", "model_hash_mismatch_total|model_signature_failures_total|model_decrypt_failures_total", "increase", ">", 0, 60),
-    Rule("SafeModeActive", "safe_mode", "value", "=", 1, 60),
+    Rule("BackendHighLatencyP95", "request_latency_ms_bucket", "quantile", ">", 60, 300),
+    Rule("InferenceHighLatencyP95", "infer_request_latency_ms_bucket", "quantile", ">", 60, 300),
+    Rule("ErrorsSpikeGeneric", "requests_total", "rate", ">", 5, 120, status="5.."),
+    Rule("BackendErrorsSpike", "fraud_backend_requests_total", "increase", ">", 5, 120, status="5.."),
+    Rule("InferenceErrorsSpike", "fraud_inference_requests_total", "increase", ">", 5, 120, status="5.."),
+    Rule("AuthFailures", "auth_failures_total|jwt_failures_total", "increase", ">", 0, 60),
+    Rule("ModelIntegrityFailure", "model_integrity_failures_total|model_signature_failures_total|model_decrypt_failures_total", "increase", ">", 0, 60),
+    Rule("SafeModeActive", "safe_mode_state", "value", "=", 1, 60),
     Rule("DriftAlert", "drift_alerts_total", "increase", ">", 0, 60, 900),
     Rule("DriftPsiCritical", "psi_feature_.*", "value", ">", 0.3, 300),
     Rule("DriftPsiWarning", "psi_feature_.*", "value", ">", 0.2, 600),
-    Rule("KafkaLagHigh", "kafka_consumer_lag", "max", ">", 10000, 300),
+    Rule("KafkaLagHigh", "consumer_group_lag", "max", ">", 10000, 300),
     Rule("RedisEvictions", "redis_evicted_keys_total", "increase", ">", 0, 60),
-    Rule("RedisHighMemory", "redis_memory_ratio", "value", ">", 0.9, 300),
-    Rule("MongoBatchQueueHigh", "mongo_batch_queue", "value", ">", 5000, 300),
-    Rule("RedisBatchQueueHigh", "redis_batch_queue", "value", ">", 2500, 300),
+    Rule("RedisHighMemory", "redis_memory_used_bytes", "ratio", ">", 0.9, 300, over="redis_total_system_memory_bytes"),
+    Rule("MongoBatchQueueHigh", "mongo_batch_queue_depth", "value", ">", 5000, 300),
     Rule("MongoBatchDrops", "mongo_batch_dropped_total", "increase", ">", 0, 60),
+    Rule("RedisBatchQueueHigh", "redis_batch_queue_depth", "value", ">", 2500, 300),
     Rule("RedisBatchDrops", "redis_batch_dropped_total", "increase", ">", 0, 60),
     Rule("DroppedRequestsSpike", "dropped_requests_total", "increase", ">", 50, 120),
     Rule("InstanceDown", "up", "value", "=", 0, 120),
@@ -56,35 +59,54 @@ def _expression(samples: DataFrame, kind: str, range_s: int, q: float, **cut) ->
     """Rows ``rule, name, series, ts_long, seq, x`` for the rules of one kind and range."""
     if kind == "value":
         return samples.withColumn("x", F.col("value").cast("double"))
+    if kind == "ratio":  # both metrics of a series at one scrape
+        part = lambda hit: F.max(F.when(hit, F.col("value").cast("double")))
+        both = samples.groupBy("rule", "series", "ts_long").agg(
+            F.min("seq").alias("seq"), F.min(F.when(~F.col("below"), F.col("name"))).alias("name"), part(~F.col("below")).alias("up"), part(F.col("below")).alias("down")
+        )
+        return both.where("up is not null and down is not null and down <> 0").withColumn("x", F.col("up") / F.col("down"))
     if kind == "max":
         return over_trailing(samples, SERIES, "ts_long", {"x": ("max", "value", range_s)}, **cut)
     if kind in ("increase", "rate"):
         grown = counter_increase(samples, SERIES, range_s, "x", **cut)
         return grown.withColumn("x", F.col("x") / float(range_s)) if kind == "rate" else grown
     grown = counter_increase(samples, [*SERIES, "le"], range_s, "_up", **cut)
-    # Buckets of one scrape share time and sequence number.
-    merged = grown.groupBy(*SERIES, "ts_long", "seq", "le").agg(F.sum("_up").alias("value"))
-    return histogram_quantile(merged, q, [*SERIES, "ts_long", "seq"]).withColumnRenamed("quantile", "x")
+    # One histogram per rule and scrape (time and sequence number): the buckets of all its series are added up first.
+    scrape = ["rule", "ts_long", "seq"]
+    merged = grown.groupBy(*scrape, "le").agg(F.sum("_up").alias("value"), F.min("name").alias("name"))
+    names = merged.groupBy(*scrape).agg(F.min("name").alias("name"))
+    found = histogram_quantile(merged.drop("name"), q, scrape).withColumnRenamed("quantile", "x")
+    return found.join(names, scrape).withColumn("series", F.lit(""))
 
 
 def eval_alerts(samples: DataFrame, rules: list[Rule] = RULES, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
     """State of every rule at every matching sample.
 
-    ``samples``: ``name, series, ts_long, seq, value`` and, for histogram buckets, ``le``.
+    ``samples``: ``name, series, ts_long, seq, value``, for histogram buckets ``le``, and a ``status`` label where there is one.
+    A quantile rule has one state for all its series (``series`` is empty).
     Result: ``rule, name, series, ts_long, seq, x, since, state`` with state ``ok``, ``pending`` or ``firing``;
     ``since`` is the start of the unbroken run of samples over the bound.  Rules of one kind and range share a pass.
     """
     kept = ["rule", "name", "series", "ts_long", "seq", "x"]
     passes: dict[tuple, list[Rule]] = {}
     for rule in rules:
-        passes.setdefault((rule.kind, rule.range_s if rule.kind != "value" else 0, rule.q), []).append(rule)
+        passes.setdefault((rule.kind, rule.range_s if rule.kind not in ("value", "ratio") else 0, rule.q), []).append(rule)
     parts = []
     for (kind, range_s, q), members in passes.items():
+        status = F.coalesce(F.col("status").cast("string"), F.lit("")) if "status" in samples.columns else F.lit("")
+
+        def hit(metric: str, labelled: str):
+            named = F.col("name").rlike(f"^(?:{metric})$")
+            return named & status.rlike(f"^(?:{labelled})$") if labelled else named
+
         names = F.filter(
-            F.array(*[F.when(F.col("name").rlike(f"^(?:{r.metric})$"), F.lit(r.name)) for r in members]),
+            F.array(
+                *[F.when(hit(r.metric, r.status), F.struct(F.lit(r.name).alias("rule"), F.lit(False).alias("below"))) for r in members],
+                *[F.when(hit(r.over, r.status), F.struct(F.lit(r.name).alias("rule"), F.lit(True).alias("below"))) for r in members if r.over],
+            ),
             lambda r: r.isNotNull(),
         )
-        matched = samples.select("*", F.explode(names).alias("rule"))
+        matched = samples.select("*", F.inline(names))
         parts.append(_expression(matched, kind, range_s, q, limit=limit, rows=rows).select(*kept))
     values = parts[0]
     for part in parts[1:]:

@@ -17,9 +17,9 @@ def grid_value(i: Column) -> Column:
 
 
 def label_by_quantile(df: DataFrame, col: str, q: float, cond: Column | None = None, out: str = "label") -> DataFrame:
-    """1 where ``col`` exceeds its exact quantile and ``cond`` holds."""
+    """1 where ``col`` exceeds its exact quantile and ``cond`` holds; a null or NaN is 0."""
     bound = quantile(df, col, q)  # one row
-    hit = F.col(col) > F.col("q")
+    hit = (F.col(col) > F.col("q")) & ~F.isnan(F.col(col).cast("double"))  # NaN is greater than any number in Spark
     if cond is not None:
         hit = hit & cond
     return df.crossJoin(F.broadcast(bound)).withColumn(out, F.coalesce(hit.cast("int"), F.lit(0))).drop("q")

@@ -314,11 +314,11 @@ def bin_counts(spark, sf):
     "j4_join_bins",
     with_sql(
         TX, DRIFT_BASE, OBSERVED,
-        body="SELECT feature, bin, lo, hi, expected, coalesce(n, 0) AS n FROM drift_base LEFT JOIN (SELECT * FROM obs WHERE n < 3000) o USING (feature, bin)",
+        body="SELECT feature, bin, lo, hi, expected, coalesce(n, 0) AS n FROM drift_base LEFT JOIN obs USING (feature, bin)",
     ),
 )
 def join_bins(spark, sf):
-    obs = drift.bin_counts(observed(spark, sf), drift_base(spark)).where("n < 3000")
+    obs = drift.bin_counts(observed(spark, sf), drift_base(spark))
     return drift.join_bins(obs, drift_base(spark))
 
 

@@ -152,7 +152,7 @@ def graph_score(spark, sf):
     "m10_pair_features",
     with_sql(
         TX, EDGES,
-        body="""SELECT DISTINCT source, target, 192 AS width, round(list_sum(list_transform(list_zip(a.embedding, b.embedding),
+        body="""SELECT event_id, source, target, 192 AS width, round(list_sum(list_transform(list_zip(a.embedding, b.embedding),
     lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))), 4) AS distance
   FROM edges JOIN embeddings a ON a.vec_id = source JOIN embeddings b ON b.vec_id = target""",
     ),
@@ -162,7 +162,7 @@ def pair_features(spark, sf):
     as_double = lambda c: F.col(c).cast("array<double>")
     f = pairs.withColumn("f", numbers.pair_features(as_double("src_vec"), as_double("dst_vec")))
     distance = F.aggregate(F.slice("f", 129, 64), F.lit(0.0), lambda acc, v: acc + v)
-    return f.select("source", "target", F.size("f").alias("width"), F.round(distance, 4).alias("distance"))
+    return f.select("event_id", "source", "target", F.size("f").alias("width"), F.round(distance, 4).alias("distance"))
 
 
 def partly_scored(spark, sf):

@@ -209,14 +209,14 @@ def nodes(spark, sf):
     "j3_lookup_pairs",
     with_sql(
         TX, EDGES,
-        body="""SELECT DISTINCT source, target, round(a.embedding[1]::DOUBLE, 5) AS src_first, round(b.embedding[64]::DOUBLE, 5) AS dst_last
+        body="""SELECT event_id, source, target, round(a.embedding[1]::DOUBLE, 5) AS src_first, round(b.embedding[64]::DOUBLE, 5) AS dst_last
   FROM edges LEFT JOIN embeddings a ON a.vec_id = source LEFT JOIN embeddings b ON b.vec_id = target""",
     ),
 )
 def lookup_pairs(spark, sf):
     found = graph.lookup_pairs(edges(spark, sf), nodes(spark, sf))
     first, last = F.get("src_vec", F.lit(0)).cast("double"), F.get("dst_vec", F.lit(63)).cast("double")
-    return found.select("source", "target", F.round(first, 5).alias("src_first"), F.round(last, 5).alias("dst_last"))
+    return found.select("event_id", "source", "target", F.round(first, 5).alias("src_first"), F.round(last, 5).alias("dst_last"))
 
 
 MANIFEST = """manifest AS (SELECT doc_id, sha256(text) AS hash FROM documents),

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from riskweave.operators import drift, evaluate, ranks
 
 
-@pytest.fixture(params=[ranks.FEW, 5], autouse=True)
+@pytest.fixture(params=[ranks.SPLIT, 0.5], autouse=True)
 def few(request, monkeypatch):
     """Every test runs with one ranking task and with many."""
-    monkeypatch.setattr(ranks, "FEW", request.param)
+    monkeypatch.setattr(ranks, "SPLIT", request.param)
 
 
 def scored(spark, n=500, seed=1):
@@ -122,3 +122,18 @@ def test_baseline_file(spark, tmp_path):
     assert [tuple(r) for r in out] == [("a", 0, 0.0, 1.0, 0.4), ("a", 1, 1.0, 2.0, 0.6)]
     path.write_text('{"x": 1}')
     assert drift.load_baseline(spark, str(path)).count() == 0
+
+
+def test_quantiles_of_small_frames(spark):
+    """Every size up to 60 and some larger ones, near both ends: the fences must hold the wanted rank."""
+    for n in [*range(1, 61, 7), 120, 721, 1500]:
+        values = [float((i * 37) % n) for i in range(n)]
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        for q in (0.0, 0.02, 0.5, 0.98, 1.0):
+            assert ranks.quantile(df, "v", q).first()["q"] == pytest.approx(float(np.quantile(values, q)), abs=1e-9)
+
+
+def test_nan_is_never_labelled(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(120)] + [(float("nan"),), (None,)], "v double")
+    out = evaluate.label_by_quantile(df, "v", 0.98).collect()
+    assert sorted(r["v"] for r in out if r["label"] == 1) == [117.0, 118.0, 119.0]

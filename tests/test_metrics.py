@@ -54,11 +54,32 @@ def test_alert_names_are_matched_whole(spark):
 
 
 def test_all_served_rules_run(spark):
-    gauge = samples(spark, [(0, 1), (130, 1)], "safe_mode").withColumn("le", F.lit(None).cast("double"))
+    gauge = samples(spark, [(0, 1), (130, 1)], "safe_mode_state").withColumn("le", F.lit(None).cast("double"))
     out = alerts.eval_alerts(gauge).where("ts_long = 130").collect()
     assert [(r["rule"], r["state"]) for r in out] == [("SafeModeActive", "firing")]
 
 
+def test_rules_on_labels_and_ratios(spark):
+    rows = [
+        ("requests_total", "a", 0, 0, 0.0, "200", None), ("requests_total", "a", 100, 1, 9000.0, "200", None),
+        ("fraud_backend_requests_total", "b", 0, 0, 0.0, "503", None), ("fraud_backend_requests_total", "b", 100, 1, 9.0, "503", None),
+        ("redis_memory_used_bytes", "r", 0, 0, 95.0, None, None), ("redis_total_system_memory_bytes", "r", 0, 0, 100.0, None, None),
+    ]
+    s = spark.createDataFrame(rows, "name string, series string, ts_long long, seq long, value double, status string, le double")
+    out = {(r["rule"], r["ts_long"]): (r["x"], r["state"]) for r in alerts.eval_alerts(s).collect()}
+    assert out == {("BackendErrorsSpike", 0): (0.0, "ok"), ("BackendErrorsSpike", 100): (9.0, "pending"), ("RedisHighMemory", 0): (0.95, "pending")}
+
+
+def test_quantile_rule_adds_up_series(spark):
+    rows = []
+    for series, slow in (("a", 0.0), ("b", 100.0)):
+        for le, part in ((50.0, 100.0 - slow), (100.0, 100.0), (float("inf"), 100.0)):
+            rows += [("request_latency_ms_bucket", series, 0, 0, 0.0, le), ("request_latency_ms_bucket", series, 60, 1, part, le)]
+    s = spark.createDataFrame(rows, "name string, series string, ts_long long, seq long, value double, le double")
+    out = [(r["series"], r["x"], r["state"]) for r in alerts.eval_alerts(s).where("ts_long = 60").collect()]
+    assert out == [("", pytest.approx(95.0), "pending")]
+
+
 def test_run_summary_floor_index(spark):
     rows = [(i, 200 if i else 500, "FRAUD" if i % 2 else "NORMAL", float(v)) for i, v in enumerate([4, 1, 3, 2])] + [(10, 200, None, None)]
     out = metrics.run_summary(spark.createDataFrame(rows, "ts_long long, status int, decision string, duration_ms double")).first()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.packing import Chunk, deal, list_rows, lists, pack, parts, signed, spans
+from riskweave.llm.packing import CHUNK, Chunk, deal, list_rows, lists, pack, parts, signed, spans
 from riskweave.llm.text import NULL_ID, Hasher, U, by_word, stream
 from riskweave.session import cut
 
@@ -157,7 +157,7 @@ def discount(ones: int, twos: int) -> float:
 def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``."""
     spark = docs.sparkSession
-    n = parts(docs)
+    n = parts(docs, size=2 * CHUNK // 3)
     buckets = 4 * n
     packed = pack(docs, n)
     sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("w", I64), ("k", I32), ("context", I32), ("count", I32)])

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -124,9 +125,11 @@ class Pieces:
         self.first = np.searchsorted(cuts, offsets)
 
     def buckets(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, positions of its words)."""
+        """(bucket, positions of its words), in order of the words, which compresses better."""
         data, edge = buffers(self.words)
-        yield from deal(Hasher().hashes(data, edge[:-1], edge[1:]), n)
+        order = pc.sort_indices(self.words).to_numpy().astype(np.int64)
+        for bucket, p in deal(Hasher().hashes(data, edge[:-1], edge[1:])[order], n):
+            yield bucket, order[p]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

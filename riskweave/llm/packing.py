@@ -33,7 +33,7 @@ def pack(docs: DataFrame, chunks: int, doc_id: str = "doc_id", text: str = "text
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2, 32 << 20):
-            press = zstandard.ZstdCompressor(level=3)
+            press = zstandard.ZstdCompressor(level=6)
             order = np.argsort(batch.column(0).to_numpy(), kind="stable")
             batch = batch.take(pa.array(order))
             chunk = batch.column(0).to_numpy()

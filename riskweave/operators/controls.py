@@ -10,12 +10,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.operators.fold import ordered_fold
+from riskweave.operators.fold import heads, ordered_fold
 
 # Defaults of the served controls.
 IDEMPOTENCY_TTL = 600
@@ -30,11 +30,18 @@ BREAKER = T.StructType([T.StructField("state", T.StringType()), T.StructField("t
 RUNNING_PSI = T.StructType([T.StructField("psi", T.DoubleType()), T.StructField("alert", T.BooleanType())])
 
 
+def timeless(now) -> bool:
+    """A null or NaN time: such a row gets null outputs and leaves the state as it is."""
+    return now is None or now != now
+
+
 def ttl_step(ttl: float):
     """State: expiry of the last accepted row."""
 
     def step(state, row):
         (now,) = row
+        if timeless(now):
+            return state, (None,)
         if state is not None and now < state[0]:
             return state, (False,)
         return [now + ttl], (True,)
@@ -47,7 +54,9 @@ def replay_step():
 
     def step(state, row):
         now, exp = row
-        if exp - now <= 0:
+        if timeless(now):
+            return state, (None,)
+        if timeless(exp) or exp - now <= 0:
             return state, ("expired",)
         if state is not None and now < state[0]:
             return state, ("replay",)
@@ -61,6 +70,8 @@ def bucket_step(capacity: int, per_minute: float):
 
     def step(state, row):
         (now,) = row
+        if timeless(now):
+            return state, (None, None)
         if state is None:
             left = capacity - 1
         else:
@@ -77,6 +88,8 @@ def breaker_step(failures: int, window: float, open_for: float):
 
     def step(state, row):
         now, failed = row
+        if timeless(now):
+            return state, (None, None)
         until, recent = (state[0], state[1:]) if state else (0.0, [])
         if until > now:
             return state, ("open", False)
@@ -172,18 +185,18 @@ def hash_chain(df: DataFrame, key: list[str], order: list[str], payload: str) ->
     ready = df.repartition(*key).sortWithinPartitions(*key, *order)
     schema = T.StructType([*df.schema.fields, T.StructField("chain", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, last = None, b""
         for batch in batches:
             links = []
-            for head, text in zip(zip(*[batch[k] for k in key]), batch[payload]):
+            for head, text in zip(heads(batch, key), batch.column(payload).to_pylist()):
                 if head != current:
                     current, last = head, b""
                 last = hashlib.sha256(last + (text or "").encode()).digest()
                 links.append(last.hex())
-            yield batch.assign(chain=links)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(links, pa.string())], names=[*batch.schema.names, "chain"])
 
-    return ready.mapInPandas(run, schema)
+    return ready.mapInArrow(run, schema)
 
 
 def auth_reason(steps: dict[str, Column]) -> Column:

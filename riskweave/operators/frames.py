@@ -1,20 +1,21 @@
 """Ordered per-key frames that stay balanced when one key holds a large share of all rows.
 
-Spark evaluates a window partition inside one task, and a sliding frame re-reads its rows for every output row.
-Both are fine for an ordinary key and ruinous for a hot one.  Every operator here takes the plain ``Window`` for
-keys of at most ``limit`` rows and has a second form for the few larger keys, whose rows are range-partitioned by
-key and order into slices of about ``rows`` rows:
+Spark evaluates a window partition inside one task, and a sliding range frame re-reads its rows for every output row.
+No operator here slides a range frame; each costs a constant per row or second at every key size.  Those that need a
+key's order in one task spread keys of more than ``limit`` rows, whose rows are range-partitioned by key and order into
+slices of about ``rows`` rows:
 
 * ``previous``  - frames that look back a fixed number of rows; a slice gets the last rows of the slices before
   it as a halo.
 * ``last_seen`` - newest non-null value so far; slices hand their last value on.
-* ``trailing``  - aggregates over the last *s* seconds.  They depend on key and second only, so rows collapse to
-  one per second first.  Time is cut into panes that divide *s*; a frame is its own pane's prefix, the whole panes
-  in between, and the oldest pane's suffix, so that each second costs O(1) however long the frame.
+* ``trailing``  - aggregates over the last *s* seconds, for all keys alike.  They depend on key and second only, so rows
+  collapse to one per second first.  Time is cut into panes; a frame is its own pane's prefix, the whole panes in
+  between, and the oldest pane's suffix, so that each second costs O(1) however long the frame.  Tasks hold panes, so
+  no key needs slices.
 * ``distinct``  - distinct items over the last *s* seconds, as a running sum of arrivals and departures.
 
-Whether a key is hot is decided from one count per key (partial aggregation, key columns only).  Results are the
-same in both forms.
+Whether a key is spread is decided from one count per key (partial aggregation, key columns only).  Results are the
+same in both forms.  Rows without a time have no trailing frame: null results.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from math import ceil, gcd
+from math import ceil, gcd, isqrt
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ from riskweave.session import cut as write_table
 
 HOT_ROWS = 50_000  # rows per key from which on the key is cut
 SLICE_ROWS = 1_000_000  # rows aimed at per slice
-PANE_SECONDS = 600  # longest pane
+PANE_SECONDS = 600  # longest pane, unless the frame is very long
+PANES = 300  # whole panes that a frame adds up
 
 
 def hot_keys(df: DataFrame, key: list[str], limit: int | None) -> DataFrame:
@@ -81,6 +83,8 @@ class Op:
 
 def apply(df: DataFrame, key: list[str], order: list[str], ops: list[Op], limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
     """Run ``ops`` in turn: the plain forms for ordinary keys, the cut forms for hot ones, which are found once."""
+    if all(op.plain is op.cut for op in ops):  # no step needs a key in one task
+        return reduce(lambda part, op: op.plain(part), ops, df)
     parts = split(df, key, order, limit, rows)
     cold = reduce(lambda part, op: op.plain(part), ops, parts.cold)
     if parts.hot is None:
@@ -145,6 +149,16 @@ def last_seen(key: list[str], order: list[str], value: str, name: str) -> Op:
     return Op(plain, cut)
 
 
+def pane_seconds(lengths: list[int]) -> int | None:
+    """The longest common divisor of the lengths up to ``PANE_SECONDS``, if no frame needs more than ``PANES`` of it; for one
+    length without such a divisor about its square root or ``PANE_SECONDS``; none for several."""
+    unit = reduce(gcd, lengths)
+    pane = max(d for d in range(1, min(unit, PANE_SECONDS) + 1) if unit % d == 0)
+    if lengths[-1] <= PANES * pane:
+        return pane
+    return min(max(PANE_SECONDS, isqrt(lengths[0])), lengths[0]) if len(lengths) == 1 else None
+
+
 def trailing(key: list[str], ts: str, frames: dict[str, tuple[str, str | None, int]]) -> Op:
     """Add aggregates over the last seconds, current second included.
 
@@ -152,19 +166,17 @@ def trailing(key: list[str], ts: str, frames: dict[str, tuple[str, str | None, i
     ``avg`` or ``max``, and ``count`` counts rows.
     """
 
-    def plain(part: DataFrame) -> DataFrame:
-        def col(how: str, value: str | None, seconds: int) -> Column:
-            spec = W.partitionBy(*key).orderBy(ts).rangeBetween(-seconds, 0)
-            agg = F.count(F.lit(1)) if how == "count" else getattr(F, how)(value)
-            return agg.over(spec)
-
-        return part.withColumns({name: col(*frame) for name, frame in frames.items()})
-
-    def cut(part: DataFrame) -> DataFrame:
-        lengths = sorted({seconds for _, _, seconds in frames.values()})
-        values = sorted({value for _, value, _ in frames.values() if value})
-        unit = reduce(gcd, lengths)
-        pane = max(d for d in range(1, min(unit, PANE_SECONDS) + 1) if unit % d == 0)
+    lengths = sorted({seconds for _, _, seconds in frames.values()})
+    values = sorted({value for _, value, _ in frames.values() if value})
+    if lengths[0] < 1:
+        raise ValueError("a trailing frame is at least one second long")
+    pane = pane_seconds(lengths)
+    if pane is None:  # lengths without a common pane go one by one
+        each = [trailing(key, ts, {n: f for n, f in frames.items() if f[2] == s}) for s in lengths]
+        one_by_one = lambda part: reduce(lambda out, op: op.plain(out), each, part).select(*part.columns, *frames)
+        return Op(one_by_one, one_by_one)
+
+    def run(part: DataFrame) -> DataFrame:
         made = {"_rows": F.count(F.lit(1))}
         for i, value in enumerate(values):
             made |= {f"_s{i}": F.sum(value), f"_k{i}": F.count(value), f"_m{i}": F.max(value)}
@@ -174,23 +186,30 @@ def trailing(key: list[str], ts: str, frames: dict[str, tuple[str, str | None, i
         own = seconds.withColumns({"_pane": F.floor(F.col("_at") / pane), "_len": F.lit(0)})
         # The suffix of the oldest pane: its seconds move on by the frame's length and meet the rows they expire at.
         halo = own.drop("_len").withColumn("_len", F.explode(F.array(*[F.lit(s) for s in lengths])))
-        halo = halo.withColumns({"_at": F.col("_at") + F.col("_len"), "_pane": F.col("_pane") + F.floor(F.col("_len") / pane)})
+        halo = halo.withColumn("_at", F.col("_at") + F.col("_len")).withColumn("_pane", F.floor(F.col("_at") / pane))
         whole = own.groupBy(*key, "_pane").agg(*[combine[c](c).alias(c) for c in parts])
         for s in lengths:
-            inner = W.partitionBy(*key).orderBy("_pane").rangeBetween(-(s // pane - 1), -1)
-            whole = whole.withColumns({f"_in{s}{c}": combine[c](c).over(inner) if s > pane else F.lit(None) for c in parts})
+            for name, panes in (("_in", s // pane - 1), ("_on", s // pane)):  # _on: where the frame reaches one pane further
+                inner = W.partitionBy(*key).orderBy("_pane").rangeBetween(-panes, -1)
+                if name == "_in" or s % pane:
+                    whole = whole.withColumns({f"{name}{s}{c}": combine[c](c).over(inner) if panes else F.lit(None) for c in parts})
         whole = renamed(whole.drop(*parts), [*key, "_pane"])
 
         prefix = W.partitionBy(*key, "_pane").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
-        suffix = W.partitionBy(*key, "_pane").orderBy(F.col("_at").desc()).rangeBetween(W.unboundedPreceding, 0)
+        # Seconds share a suffix by the pane that the frame begins in.
+        oldest = {s: F.col("_pane") if s % pane == 0 else F.floor((F.col("_at") - s) / pane) for s in lengths}
+        suffix = {s: W.partitionBy(*key, oldest[s]).orderBy(F.col("_at").desc()).rangeBetween(W.unboundedPreceding, 0) for s in lengths}
         ends = {f"_p{c}": combine[c](F.when(F.col("_len") == 0, F.col(c))).over(prefix) for c in parts}
         for s in lengths:
-            ends |= {f"_x{s}{c}": combine[c](F.when(F.col("_len") == s, F.col(c))).over(suffix) for c in parts}
+            ends |= {f"_x{s}{c}": combine[c](F.when(F.col("_len") == s, F.col(c))).over(suffix[s]) for c in parts}
         done = own.unionByName(halo).withColumns(ends).where(F.col("_len") == 0)
         done = done.join(whole, same([*key, "_pane"]), "left")
 
         def total(c: str, s: int) -> Column:
-            pieces = [F.col(f"_p{c}"), F.col(f"_in{s}{c}"), F.col(f"_x{s}{c}")]
+            between = F.col(f"_in{s}{c}")
+            if s % pane:
+                between = F.when(F.pmod(F.col("_at"), F.lit(pane)) < s % pane, F.col(f"_on{s}{c}")).otherwise(between)
+            pieces = [F.col(f"_p{c}"), between, F.col(f"_x{s}{c}")]
             if c.startswith("_m"):
                 return F.greatest(*pieces)
             return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in pieces])
@@ -209,17 +228,13 @@ def trailing(key: list[str], ts: str, frames: dict[str, tuple[str, str | None, i
         # One result per key and second; AQE splits a crowded second on the row side of this join.
         return part.join(result, same(key) & (F.col(ts) == F.col("_at")), "left").select(*part.columns, *out)
 
-    return Op(plain, cut)
+    return Op(run, run)
 
 
 def distinct(key: list[str], ts: str, item: str, seconds: int, name: str, rows: int = SLICE_ROWS) -> Op:
     """Add ``name``: the number of distinct non-null ``item`` over the last ``seconds``, current second included."""
 
-    def plain(part: DataFrame) -> DataFrame:
-        spec = W.partitionBy(*key).orderBy(ts).rangeBetween(-seconds, 0)
-        return part.withColumn(name, F.size(F.collect_set(item).over(spec)).cast("bigint"))
-
-    def cut(part: DataFrame) -> DataFrame:
+    def changes(part: DataFrame) -> DataFrame:
         # An item counts from a sighting until `seconds` after it, unless seen again by then: +1 where such a stay
         # begins, -1 just after it ends.  Repeats inside a second collapse before the shuffle, and so do the steps
         # of a second, so a key has at most two rows per second of its time span.
@@ -234,7 +249,18 @@ def distinct(key: list[str], ts: str, item: str, seconds: int, name: str, rows:
         )
         marks = part.select(*key, F.col(ts).alias("_at"), F.lit(0).cast("bigint").alias("_d"))
         moves = stays.select(*key, F.explode(steps).alias("_s")).select(*key, "_s.*").where("_d <> 0").unionByName(marks)
-        moves = moves.groupBy(*key, "_at").agg(F.sum("_d").alias("_d"))
+        return moves.groupBy(*key, "_at").agg(F.sum("_d").alias("_d"))
+
+    def found(part: DataFrame, counts: DataFrame) -> DataFrame:
+        both = part.join(renamed(counts, key), same(key) & (F.col(ts) == F.col("_at")), "left")
+        return both.select(*part.columns, name)
+
+    def plain(part: DataFrame) -> DataFrame:
+        within = W.partitionBy(*key).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+        return found(part, changes(part).select(*key, "_at", F.sum("_d").over(within).alias(name)))
+
+    def cut(part: DataFrame) -> DataFrame:
+        moves = changes(part)
         parts = max(1, part.select("_slice").agg(F.max("_slice")).first()[0] or 1)
         sliced = write_table(moves.repartitionByRange(parts, *key, "_at").withColumn("_slice", F.spark_partition_id()))
         sums = sliced.groupBy(*key, "_slice").agg(F.sum("_d").alias("_d"))
@@ -242,9 +268,7 @@ def distinct(key: list[str], ts: str, item: str, seconds: int, name: str, rows:
         carry = sums.select(*key, "_slice", F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_carry"))
         within = W.partitionBy(*key, "_slice").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
         joined = sliced.join(renamed(carry, [*key, "_slice"]), same([*key, "_slice"]), "left")
-        counts = joined.select(*key, "_at", (F.col("_carry") + F.sum("_d").over(within)).alias(name))
-        found = part.join(renamed(counts, key), same(key) & (F.col(ts) == F.col("_at")), "left")
-        return found.select(*part.columns, name)
+        return found(part, joined.select(*key, "_at", (F.col("_carry") + F.sum("_d").over(within)).alias(name)))
 
     return Op(plain, cut)
 

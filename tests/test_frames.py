@@ -55,7 +55,23 @@ def test_model_features_cut_equals_plain(spark):
     same_rows(cut, plain, columns)
 
 
-@pytest.mark.parametrize("seconds", [7, 60, 900])
+def test_trailing_lengths_without_a_common_pane(spark):
+    rows = rows_of(200, 8, hot_share=0.7, crowd=10)
+    wanted = {f"n{s}": ("count", None, s) for s in (1, 907, 3607)} | {"m": ("max", "amount", 907)}
+    got = {r["transaction_id"]: r for r in frames.over_trailing(frame(spark, rows), KEY, "ts_long", wanted).collect()}
+    for key, tid, at, *_ in rows:
+        for s in (1, 907, 3607):
+            inside = [r[3] for r in rows if r[0] == key and at - s <= r[2] <= at]
+            assert got[tid][f"n{s}"] == len(inside)
+            if s == 907:
+                assert got[tid]["m"] == max((a for a in inside if a is not None), default=None)
+
+
+def test_panes_bound_what_a_frame_adds_up():
+    assert [frames.pane_seconds(x) for x in ([300], [1800, 3600, 86_400], [7], [3607], [1, 86_400])] == [300, 600, 7, 600, None]
+
+
+@pytest.mark.parametrize("seconds", [7, 60, 900, 907])
 def test_trailing_against_brute_force(spark, seconds):
     rows = rows_of(300, 3, hot_share=1.0, crowd=30)
     wanted = {"s": ("sum", "amount", seconds), "n": ("count", None, seconds), "m": ("max", "amount", seconds), "a": ("avg", "amount", seconds)}

@@ -1,13 +1,13 @@
 """Scoring by a hierarchical Pitman-Yor language model.
 
 Restaurants: one per context, all sharing one parent, whose base is uniform over the known words and one unknown.  The
-context of a token is the class of the word before it (``CLASSES`` hash classes, so a frequent word has a class almost to
-itself and totals per context stay bounded).  Customers of a context restaurant are the training tokens; each of its
-tables sends one customer to the parent.
+context of a token is the word before it (its 64-bit hash), so contexts grow with the corpus.  Customers of a context
+restaurant are the training tokens; each of its tables sends one customer to the parent.
 
 Gibbs sampling runs in sweeps.  All tokens of a word lie in one bucket, with the word's customers in every context and in
-the parent, so a sweep reseats all customers of a word given the table totals that the sweep before left; buckets are
-independent and only totals per context are summed up (``CLASSES`` rows).  A customer opens a table with probability
+the parent, so a sweep reseats all customers of a word given the table totals that the sweep before left.  Totals per
+context never pass through the driver: every context has a home (by hash), each bucket sends its homes what it has of their
+contexts, packed, and gets the sums back in the same order, as written tables.  A customer opens a table with probability
 proportional to (strength + discount * tables) * parent probability, as in the Chinese-restaurant process; from the 32nd
 customer of a dish on, customers are seated in batches of a sixteenth of those that sit (a binomial draw), so a frequent
 word costs logarithmic time.  Seats are drawn from a stream fixed by sweep and bucket and can be drawn again instead of
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.packing import CHUNK, Chunk, deal, list_rows, lists, pack, parts, signed, spans
 from riskweave.llm.text import NULL_ID, Hasher, U, by_word, stream
-from riskweave.session import cut
+from riskweave.session import cut, cut_by
 
-CLASSES = 1 << 16
+CLASSES = 1 << 16  # homes at most; a home adds up many contexts, each by itself
 END, START = int(stream(31, 1)[0]), int(stream(32, 1)[0])
 SEED = 20240229
 I64, I32, F32 = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float32())
@@ -62,9 +62,8 @@ class Pairs:
         before = np.empty(total, U)
         before[1:] = token[:-1]
         before[self.first[:-1]] = U(START)
-        context = ((before >> U(40)) % U(CLASSES)).astype(np.int32)
-        order = by_word(token, context)
-        w, c = token[order], context[order]
+        order = by_word(token, before)
+        w, c = token[order], before[order]
         new = np.ones(total, bool)
         new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
         at = np.flatnonzero(new)
@@ -103,13 +102,13 @@ def seat(count: np.ndarray, mass: np.ndarray, discount: float, rng: np.random.Ge
 
 
 def left_over(tables, customers, parent_tables) -> dict:
-    """What a sweep leaves for all: tables per context, customers and tables of the parent (plain values, as they are
-    broadcast to workers that don't have this package)."""
+    """What a sweep leaves for all: tables per context (of a bucket's contexts), customers and tables of the parent."""
     return {"tables": tables, "customers": customers, "parent_tables": parent_tables}
 
 
 class Bucket:
-    """All counts of a bucket's words: ``w``, ``k`` (contexts per word), ``context`` and ``count`` per pair."""
+    """All counts of a bucket's words: ``k`` (contexts per word), ``context`` (its place in the bucket's list) and ``count``
+    per pair."""
 
     def __init__(self, row: dict):
         self.bucket = int(row["bucket"])
@@ -154,24 +153,50 @@ def discount(ones: int, twos: int) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones else 0.5
 
 
+def homed(context: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts of a bucket in order of their homes, and the place of each given one among them."""
+    found, place = np.unique(context, return_inverse=True)
+    order = np.concatenate([p for _, p in deal(found, homes)]) if len(found) else np.zeros(0, np.int64)
+    moved = np.empty(len(found), np.int64)
+    moved[order] = np.arange(len(found))
+    return found[order], moved[place]
+
+
+class Said:
+    """What the homes reply to a bucket, in order of homes: per ``sweep`` one number per context of the bucket."""
+
+    def __init__(self, replies: pa.Table):
+        homes, sweeps = (replies[n].to_numpy() for n in ("home", "sweep"))
+        cells = lists(replies, "total")
+        order = np.lexsort((homes, sweeps))
+        self.homes = np.unique(homes)
+        self.totals = {i: np.concatenate([cells[r] for r in order[sweeps[order] == i]]) for i in np.unique(sweeps).tolist()}
+        self.sizes = [len(cells[r]) for r in order[: len(self.homes)]]
+
+    def sent(self, schema: pa.Schema, bucket: int, values: np.ndarray, whole: tuple[int, int]) -> pa.Table:
+        """(home, bucket, tables) rows; the first one also has what is summed over all buckets."""
+        cells = np.split(values, np.cumsum(self.sizes)[:-1])
+        return list_rows(schema, [(h, bucket, v, *(whole if i == 0 else (0, 0))) for i, (h, v) in enumerate(zip(self.homes.tolist(), cells))])
+
+
 def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``."""
-    spark = docs.sparkSession
     n = parts(docs, size=2 * CHUNK // 3)
     buckets = 4 * n
+    homes = min(n, CLASSES)
     packed = pack(docs, n)
-    sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("w", I64), ("k", I32), ("context", I32), ("count", I32)])
+    sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("w", I64), ("k", I32), ("context", I64), ("count", I32)])
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x, chunk = Pairs(Chunk(table)), key[0].as_py()
-        return list_rows(sent, [(b, chunk, signed(x.words[p]), x.size[p], x.context[q], x.count[q]) for b, p, q in x.buckets(buckets)])
+        return list_rows(sent, [(b, chunk, signed(x.words[p]), x.size[p], signed(x.context[q]), x.count[q]) for b, p, q in x.buckets(buckets)])
 
-    kept = pa.schema([("bucket", pa.int32()), ("k", I32), ("context", I32), ("count", I64), ("chunk", I32), ("n", I32), ("gap", I32)])
+    kept = pa.schema([("bucket", pa.int32()), ("k", I32), ("distinct", I64), ("context", I32), ("count", I64), ("chunk", I32), ("n", I32), ("gap", I32)])
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         size = lists(table, "k", np.int64)
         words = np.concatenate([np.repeat(w, k) for w, k in zip(lists(table, "w"), size)]).view(U)
-        context, number = np.concatenate(lists(table, "context")), np.concatenate(lists(table, "count"))
+        context, number = np.concatenate(lists(table, "context")).view(U), np.concatenate(lists(table, "count"))
         order = by_word(words, context)
         w, c = words[order], context[order]
         new = np.ones(len(w), bool)
@@ -182,75 +207,97 @@ def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.
         head = np.ones(len(at), bool)
         head[1:] = w[at][1:] != w[at][:-1]
         k = np.diff(np.append(np.flatnonzero(head), len(at)))
+        distinct, own = homed(c[at], homes)
         sizes = [len(x) for x in lists(table, "context")]
         gap = np.concatenate([np.diff(x, prepend=0) for x in np.split(place, np.cumsum(sizes)[:-1])])
-        return list_rows(kept, [(key[0].as_py(), k, c[at], np.add.reduceat(number[order], at), np.array(table["chunk"].to_pylist()), np.array(sizes), gap)])
+        return list_rows(kept, [(key[0].as_py(), k, signed(distinct), own, np.add.reduceat(number[order], at), np.array(table["chunk"].to_pylist()), np.array(sizes), gap)])
 
-    pairs = packed.groupBy("chunk").applyInArrow(count, "bucket int, chunk int, w array<bigint>, k array<int>, context array<int>, count array<int>")
-    store = cut(pairs.groupBy("bucket").applyInArrow(merge, "bucket int, k array<int>, context array<int>, count array<bigint>, chunk array<int>, n array<int>, gap array<int>"))
+    pairs = packed.groupBy("chunk").applyInArrow(count, "bucket int, chunk int, w array<bigint>, k array<int>, context array<bigint>, count array<int>")
+    merged = pairs.groupBy("bucket").applyInArrow(merge, "bucket int, k array<int>, distinct array<bigint>, context array<int>, count array<bigint>, chunk array<int>, n array<int>, gap array<int>")
+    store = cut_by(merged, "bucket", n)
     model = store.select("bucket", "k", "context", "count")
 
-    # per context: customers and tables; context -1: whole-corpus sums
-    def sums(context, first, second, whole: list) -> pa.RecordBatch:
-        a, b = (np.bincount(context, x, minlength=CLASSES).astype(np.int64) for x in (first, second))
-        full = np.flatnonzero((a > 0) | (b > 0))
-        keys = np.concatenate([full, -1 - np.arange(len(whole))])
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(np.r_[a[full], whole], pa.int64()), pa.array(np.r_[b[full], [0] * len(whole)], pa.int64())], names=["context", "a", "b"])
-
-    def gathered(run) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-        rows = model.mapInArrow(run, "context int, a bigint, b bigint").groupBy("context").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        a, b, whole = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64), {}
-        for r in rows.collect():  # at most CLASSES rows and a few
-            if r["context"] >= 0:
-                a[r["context"]], b[r["context"]] = r["a"], r["b"]
-            else:
-                whole[-1 - r["context"]] = r["a"]
-        return a, b, whole
+    first = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("context", I64), ("customers", I64), ("tables", I64), ("whole", I64)])
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in bucket_rows(batches):
-            x = Bucket(row)
+            x, context = Bucket(row), row["distinct"]
             known = (x.count > 0).astype(np.int64)
             contexts = x.per_word(known)
-            yield sums(x.context, x.count, known, [int(v) for v in (x.count.sum(), (contexts > 0).sum(), (x.count == 1).sum(), (x.count == 2).sum(), (contexts == 1).sum(), (contexts == 2).sum(), known.sum())])
-
-    customers, tables, whole = gathered(start)
-    train, known, n1, n2, m1, m2, opened = (whole.get(i, 0) for i in range(7))
+            whole = np.array([x.count.sum(), (contexts > 0).sum(), (x.count == 1).sum(), (x.count == 2).sum(), (contexts == 1).sum(), (contexts == 2).sum(), known.sum()])
+            customers, tables = (np.bincount(x.context, v, len(context)).astype(np.int64) for v in (x.count, known))
+            rows = [(h, x.bucket, context[p], customers[p], tables[p], np.zeros(0, np.int64)) for h, p in deal(context.view(U), homes)]
+            rows[0] = (*rows[0][:-1], whole)
+            yield from list_rows(first, rows).to_batches()
+
+    begun = store.select("bucket", "k", "distinct", "context", "count").mapInArrow(start, "home int, bucket int, context array<bigint>, customers array<bigint>, tables array<bigint>, whole array<bigint>")
+    begun = cut(begun)
+    sums = begun.agg(*[F.coalesce(F.sum(F.get("whole", F.lit(i))), F.lit(0)) for i in range(7)]).first()
+    train, known, n1, n2, m1, m2, opened = (int(v) for v in sums)
     fixed = {"d": discount(n1, n2), "d0": discount(m1, m2), "strength": strength, "base": 1.0 / (known + 1)}
-    history = [left_over(tables, opened, known)]
+
+    placed = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("place", I32), ("customers", I64), ("tables", I64)])
+
+    def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        cells = lists(table, "context")
+        place = np.unique(np.concatenate(cells), return_inverse=True)[1]
+        edge = np.cumsum([len(c) for c in cells])[:-1]
+        total = [np.split(np.bincount(place, np.concatenate(lists(table, v))).astype(np.int64)[place], edge) for v in ("customers", "tables")]
+        return list_rows(placed, [(key[0].as_py(), *row) for row in zip(table["bucket"].to_pylist(), np.split(place, edge), *total)])
+
+    settled = begun.select("home", "bucket", "context", "customers", "tables").groupBy("home")
+    settled = cut_by(settled.applyInArrow(settle, "home int, bucket int, place array<int>, customers array<bigint>, tables array<bigint>"), "home", n)
+    layout = settled.select("home", "bucket", "place")
+    reply = lambda table, sweep, total: table.select("bucket", "home", F.lit(sweep).alias("sweep"), F.col(total).alias("total"))
+
+    replied = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("tables", I64)])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table, news: pa.Table) -> pa.Table:
+        at = dict(zip(news["bucket"].to_pylist(), lists(news, "tables")))
+        rows, cells = table["bucket"].to_pylist(), lists(table, "place")
+        place = np.concatenate(cells)
+        total = np.bincount(place, np.concatenate([at[b] for b in rows])).astype(np.int64)[place]
+        return list_rows(replied, [(key[0].as_py(), b, v) for b, v in zip(rows, np.split(total, np.cumsum([len(c) for c in cells])[:-1]))])
+
+    told = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("tables", I64), ("customers0", pa.int64()), ("tables0", pa.int64())])
+    replies, parent = [reply(settled, 0, "tables")], [(opened, known)]  # tables per context; customers and tables of the parent
     for number in range(burn + samples):
-        totals = spark.sparkContext.broadcast(history[-1])  # CLASSES numbers
+        before = parent[-1]
+
+        def sweep(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
+            said = Said(answers)
+            x = Bucket(next(bucket_rows(table.combine_chunks().to_batches())))
+            t, c0, t0 = x.sweep(number, left_over(said.totals[number], *before), fixed)
+            tables = np.bincount(x.context, t, sum(said.sizes)).astype(np.int64)
+            return said.sent(told, x.bucket, tables, (int(c0.sum()), int(t0.sum())))
 
-        def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in bucket_rows(batches):
-                x = Bucket(row)
-                t, c0, t0 = x.sweep(number, totals.value, fixed)
-                yield sums(x.context, t, t, [int(c0.sum()), int(t0.sum())])
+        both = model.groupBy("bucket").cogroup(replies[-1].groupBy("bucket"))
+        news = cut(both.applyInArrow(sweep, "home int, bucket int, tables array<bigint>, customers0 bigint, tables0 bigint"))
+        parent.append(tuple(int(v or 0) for v in news.agg(F.sum("customers0"), F.sum("tables0")).first()))
+        added = layout.groupBy("home").cogroup(news.select("home", "bucket", "tables").groupBy("home"))
+        replies.append(reply(cut(added.applyInArrow(add, "home int, bucket int, tables array<bigint>")), number + 1, "tables"))
 
-        tables, _, whole = gathered(sweep)
-        history.append(left_over(tables, whole.get(0, 0), whole.get(1, 0)))
-    past = spark.sparkContext.broadcast((history, customers))
     answer = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("lp", F32), ("seen", I64)])
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, there = past.value
-        for row in bucket_rows(batches):
-            x = Bucket(row)
-            p = np.zeros(len(x.count))
-            n_context = strength + there[x.context]
-            for number in range(burn, burn + samples):
-                t, c0, t0 = x.sweep(number, done[number], fixed)
-                now = done[number + 1]
-                p0 = parent_probability(c0, t0, now, fixed)
-                p += (np.maximum(x.count - fixed["d"] * t, 0) + (strength + fixed["d"] * now["tables"][x.context]) * p0[x.word_of]) / n_context
-            lp = np.log10(p / samples)
-            seen = x.per_word(x.count)
-            rows = []
-            for chunk, gap in zip(row["chunk"].tolist(), np.split(row["gap"], np.cumsum(row["n"])[:-1])):
-                place = np.cumsum(gap)
-                word = x.word_of[place]
-                rows.append((chunk, x.bucket, lp[place], seen[word[np.flatnonzero(np.diff(word, prepend=-1))]]))
-            yield from list_rows(answer, rows).to_batches()
+    def predict(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
+        said = Said(answers)
+        row = next(bucket_rows(table.combine_chunks().to_batches()))
+        x = Bucket(row)
+        p = np.zeros(len(x.count))
+        n_context = strength + said.totals[-1][x.context]
+        for number in range(burn, burn + samples):
+            t, c0, t0 = x.sweep(number, left_over(said.totals[number], *parent[number]), fixed)
+            now = left_over(said.totals[number + 1], *parent[number + 1])
+            p0 = parent_probability(c0, t0, now, fixed)
+            p += (np.maximum(x.count - fixed["d"] * t, 0) + (strength + fixed["d"] * now["tables"][x.context]) * p0[x.word_of]) / n_context
+        lp = np.log10(p / samples)
+        seen = x.per_word(x.count)
+        rows = []
+        for chunk, gap in zip(row["chunk"].tolist(), np.split(row["gap"], np.cumsum(row["n"])[:-1])):
+            place = np.cumsum(gap)
+            word = x.word_of[place]
+            rows.append((chunk, x.bucket, lp[place], seen[word[np.flatnonzero(np.diff(word, prepend=-1))]]))
+        return list_rows(answer, rows)
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -272,6 +319,10 @@ def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.
         ]
         return pa.Table.from_arrays(columns, schema=out)
 
-    answers = store.mapInArrow(predict, "chunk int, bucket int, lp array<float>, seen array<bigint>")
+    past = reply(settled, -1, "customers")
+    for one in replies[burn:]:
+        past = past.unionByName(one)
+    whole = store.select("bucket", "k", "context", "count", "chunk", "n", "gap").groupBy("bucket").cogroup(past.groupBy("bucket"))
+    answers = whole.applyInArrow(predict, "chunk int, bucket int, lp array<float>, seen array<bigint>")
     scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(gather, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")

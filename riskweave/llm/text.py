@@ -173,13 +173,11 @@ def least(values: np.ndarray, k: int) -> np.ndarray:
 
 
 def by_word(words: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """An order by word and context (below 2**16), with equal words together."""
-    high = words & ~U(0xFFFF)
-    order = np.argsort(high | context.astype(U))
-    w, h = words[order], high[order]
-    if ((h[1:] == h[:-1]) & (w[1:] != w[:-1])).any():  # two words that differ in the low bits only
-        return np.lexsort((context, words))
-    return order
+    """An order by word and context (both 64-bit hashes)."""
+    every = np.unique(words, return_inverse=True)[1].astype(U) << U(32)
+    if len(words):
+        every |= np.unique(context, return_inverse=True)[1].astype(U)
+    return np.argsort(every)
 
 
 def inside(first: np.ndarray, k: int) -> np.ndarray:

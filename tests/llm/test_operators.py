@@ -15,7 +15,7 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, chat, classifier, fingerprint, mixing, near_dedup, pitman_yor, quality_rules, substring, token_counts
+from riskweave.llm import bpe, chat, classifier, fingerprint, mixing, near_dedup, pitman_yor, quality_rules, substring, text, token_counts
 from riskweave.llm.queries import DOMAINS, domain, weights  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -319,6 +319,21 @@ def test_language_model_is_a_distribution():
         assert ((own + back * p0).sum() + back * unknown0) / (1 + there) == pytest.approx(1)
 
 
+def test_language_model_keeps_contexts_apart(spark):
+    """Two words that agree in 16 bits of their hashes are two contexts, and what follows one says nothing of the other."""
+    names = [f"n{i}" for i in range(3000)]
+    hashes = text.Hasher(lower=True).words(np.frombuffer(" ".join(names).encode(), np.uint8), np.array([0, len(" ".join(names))])).hash
+    by_class = defaultdict(list)
+    for name, h in zip(names, hashes.tolist()):
+        by_class[(h >> 40) % 65536].append(name)
+    a, b = next(x for x in by_class.values() if len(x) > 1)[:2]
+    ids = [i for i in range(2000) if not held(i, 10)][:400]
+    test = [i for i in range(2000) if held(i, 10)][:2]
+    rows = [(i, f"{a} p" if j % 2 else f"{b} q") for j, i in enumerate(ids)] + [(test[0], f"{a} p"), (test[1], f"{a} q")]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[test[0]] - got[test[1]] > 1
+
+
 def test_classifier(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = classifier.classify(docs.unionByName(spark.createDataFrame(EDGE, "doc_id bigint, text string"), allowMissingColumns=True), labels).collect()

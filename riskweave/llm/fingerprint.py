@@ -1,9 +1,9 @@
 """Document fingerprints: MinHash signatures by universal hashing, in vectorised numpy.
 
 A text's words (A-Z folded) form five-word shingles; each of ``PERMUTATIONS`` multiply-add hashes modulo 2**64 keeps its
-smallest value, of which 16 bits enter the fingerprint (hex).  The likeness of two fingerprints is the share of equal
+smallest value, of which 16 mixed bits enter the fingerprint (hex).  The likeness of two fingerprints is the share of equal
 places, an estimate of the Jaccard similarity of the shingle sets.  ``similar`` joins bands of the signature in Spark and
-confirms candidates on full shingle sets.
+confirms candidates on full shingle sets; ``fingerprints_and_classes`` gives both per row.
 
 Edge rows: null is the empty text; a text without words has the empty fingerprint, like (1.0) another such and unlike
 (0.0) all others; with fewer than five words the whole sequence is one shingle; rows are ordered by doc_id (null first),
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from riskweave.llm.near_dedup import grouped
+from riskweave.llm.near_dedup import grouped, linked
 from riskweave.llm.packing import list_rows, parts, signed
 from riskweave.llm.text import Hasher, U, buffers, grams, mix, pieces, shingles, stream
 from riskweave.session import cut
@@ -63,7 +63,8 @@ class MinHash:
             for j in range(self.n):
                 np.multiply(x, self.a[j], out=buffer)
                 buffer += self.b[j]
-                out[block, j] = (np.minimum.reduceat(buffer, starts) >> U(40)).astype(np.uint16)
+                # minima of long texts are small numbers: mixed, their 16 bits differ however long the texts are
+                out[block, j] = mix(np.minimum.reduceat(buffer, starts)).astype(np.uint16)
             at += len(block)
         return out, size > 0
 
@@ -77,6 +78,12 @@ def likeness(a: np.ndarray, fa: np.ndarray, b: np.ndarray, fb: np.ndarray) -> np
     return np.where(fa & fb, (a == b).mean(axis=1), (fa == fb).astype(float))
 
 
+def set_keys(minhash: MinHash, texts: pa.Array) -> Iterator[tuple[int, bytes | None]]:
+    """(number of shingles, digest of the shingle set or None for no shingles) per text."""
+    for found in shingles(minhash.hasher.words(*buffers(texts)), minhash.k):
+        yield len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+
+
 def successors(docs: DataFrame) -> DataFrame:
     """(slice, ahead, doc_id, text): slices of consecutive documents, each followed by the first document of the next slice
     (``ahead`` 1), which is there to be read only; after the last comes the first.
@@ -107,12 +114,13 @@ def successors(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next per row of ``docs``.
+    """doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles, set_key per row of
+    ``docs``.
 
     The edited text: the last floor(n_chars / 2) code points replaced by the first as many of the next document.
     """
-    names = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    wire = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()])))
+    names = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "set_key"]
+    wire = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.binary()])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash()
@@ -120,11 +128,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in pieces(batches, 3):
             sig, full = minhash.signatures(batch.column(3))
             ahead = batch.column(1).to_numpy()
-            one, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            one, texts, sets = batch.column(2).to_pylist(), batch.column(3).to_pylist(), list(set_keys(minhash, batch.column(3)))
             if kept:
                 ahead, one, texts = np.r_[kept[0], ahead], [*kept[1], *one], [*kept[2], *texts]
-                sig, full = np.concatenate([kept[3], sig]), np.concatenate([kept[4], full])
-            kept = (ahead[-1:], one[-1:], texts[-1:], sig[-1:], full[-1:])
+                sig, full, sets = np.concatenate([kept[3], sig]), np.concatenate([kept[4], full]), [*kept[5], *sets]
+            kept = (ahead[-1:], one[-1:], texts[-1:], sig[-1:], full[-1:], sets[-1:])
             rows = np.flatnonzero(ahead[:-1] == 0)
             if not len(rows):
                 continue
@@ -136,11 +144,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     pa.array([one[i] for i in rows], pa.int64()), pa.array(size, pa.int64()), pa.array(edited, pa.string()),
                     pa.array(hexes(sig[rows], full[rows])), pa.array(hexes(esig, efull)),
                     pa.array(likeness(sig[rows], full[rows], esig, efull)), pa.array(likeness(sig[rows], full[rows], sig[rows + 1], full[rows + 1])),
+                    pa.array([sets[i][0] for i in rows], pa.int64()), pa.array([sets[i][1] for i in rows], pa.binary()),
                 ],
                 schema=wire,
             )
 
-    schema = "doc_id bigint, n_chars bigint, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id bigint, n_chars bigint, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles bigint, set_key binary"
     return successors(docs).mapInArrow(run, schema)
 
 
@@ -153,11 +162,9 @@ def banded(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         for batch in pieces(batches, 1):
             sig, full = minhash.signatures(batch.column(1))
             keys = mix((sig.astype(U).reshape(len(sig), -1, BAND) * factors).sum(axis=2, dtype=U) ^ salts)
-            sets = shingles(minhash.hasher.words(*buffers(batch.column(1))), k)
             rows = []
-            for one, found, key, ok in zip(batch.column(0).to_pylist(), sets, keys, full.tolist()):
-                digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if ok else None
-                rows.append((one, len(found), digest, signed(key) if ok else np.zeros(0, np.int64)))
+            for one, (size, digest), key in zip(batch.column(0).to_pylist(), set_keys(minhash, batch.column(1)), keys):
+                rows.append((one, size, digest, signed(key) if size else np.zeros(0, np.int64)))
             yield from list_rows(wire, rows).to_batches()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -168,4 +175,12 @@ def banded(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 def similar(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): classes of documents linked at ``percent`` Jaccard similarity of their
     five-word shingles, found through joined signature bands and confirmed on full sets."""
-    return grouped(docs, cut(banded(docs)), SHINGLE, percent)
+    table = cut(banded(docs))
+    return grouped(table.drop("keys"), linked(docs, table, SHINGLE, percent))
+
+
+def fingerprints_and_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The columns of ``fingerprints`` (the digest edited_sha256 for edited_text, no set_key), and component_id and kept as in ``similar``, per row of ``docs``."""
+    found = cut(linked(docs, cut(banded(docs)), SHINGLE, percent))
+    prints = fingerprints(docs).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+    return grouped(prints, found)

@@ -174,9 +174,9 @@ def strays(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     return dealt.groupBy("unit").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def grouped(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``table`` (doc_id, n_shingles, set_key, keys): documents that
-    share a key are compared as described above, on the shingle sets of ``docs`` (doc_id, text)."""
+def linked(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFrame:
+    """(set_key, component_id) of the shingle sets in ``table`` (doc_id, n_shingles, set_key, keys): documents that share a
+    key are compared as described above, on the shingle sets of ``docs`` (doc_id, text)."""
     named = table.where("n_shingles > 0 and doc_id is not null")
     classes = cut(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "leftsemi")
@@ -192,17 +192,23 @@ def grouped(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFram
     more = cut(confirmed(strays(shared, components(links), sets, percent), sets, percent))
     labels = components(links.union(more))
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    found = found.select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    return found.select("set_key", F.coalesce("component", "rep").alias("component_id"))
+
+
+def grouped(table: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``table`` (doc_id, set_key and others) with component_id and kept instead of set_key."""
+    names = [c for c in table.columns if c != "set_key"]
     return (
-        table.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        table.join(found, "set_key", "left")
+        .select(*names, F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
     )
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text)."""
-    return grouped(docs, cut(sketches(docs, k)), k, percent)
+    table = cut(sketches(docs, k))
+    return grouped(table.drop("keys"), linked(docs, table, k, percent))
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -110,8 +110,8 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_fingerprints")
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    found = fingerprint.fingerprints_and_classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "component_id", "kept")
 
 
 @query("pipeline")

@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from riskweave.llm import bpe, chat, classifier, fingerprint, mixing, near_dedup, pitman_yor, quality_rules, substring, text, token_counts
-from riskweave.llm.queries import DOMAINS, domain, weights  # noqa: F401
+from riskweave.llm.queries import DOMAINS, QUERIES, domain, weights  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -279,6 +279,22 @@ def test_similar_classes(docs, data):
     assert {r.doc_id: r.component_id for r in fingerprint.similar(docs).where("doc_id is not null").collect()} == want
 
 
+def test_fingerprint_query_has_classes(spark):
+    """The registered query itself runs the band join over the whole table."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op10_fingerprints"](spark, SF).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(rows, 5) and len(got) == len(rows)
+    assert all(r.kept == (r.doc_id == r.component_id) and len(r.fingerprint) in (0, 512) for r in got)
+
+
+def test_fingerprints_of_long_texts():
+    """Minima of very large sets are small numbers; unequal ones must not share their 16 bits."""
+    minhash = fingerprint.MinHash(k=1)
+    long = [" ".join(f"{x}{i}" for i in range(1 << 20)) for x in "ab"]
+    sig, _ = minhash.signatures(pa.array(long))
+    assert (sig[0] == sig[1]).sum() <= 1
+
+
 def held(i, n):
     return zlib.crc32(b"" if i == low(None) else str(i).encode()) % n == 0
 

@@ -14,8 +14,9 @@ similarity 0.8 shares no bucket with probability 3e-6.  Candidates are confirmed
 equal sets are one node throughout.
 
 Edge rows: null or empty texts have no shingles, link with nothing and form their own component; a text with fewer words
-than a shingle is one shingle; rows that repeat a doc_id are one node and all get its component; rows with a null doc_id
-are returned with null component and kept true; other columns are ignored, whatever their names.
+than a shingle is one shingle; rows that repeat a doc_id with other shingles are nodes of their own (nodes are known by a
+64-bit hash of their set's digest; a component is named by its smallest doc_id); rows with a null doc_id are returned with
+null component and kept true; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,37 +64,38 @@ class Sketch:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, keys) per row; set_key identifies the shingle set, null where it is empty."""
-    wire = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """(doc_id, n_shingles, set_key, keys, mark) per row; set_key identifies the shingle set, null where it is empty, and mark
+    the text."""
+    wire = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("keys", pa.list_(pa.int64())), ("mark", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sketch = Hasher(lower=True), Sketch()
         for batch in pieces(batches, 1):
             data, offsets = buffers(batch.column(1))
             rows = []
-            for one, found in zip(batch.column(0).to_pylist(), shingles(hasher.words(data, offsets), k)):
+            for one, mark, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingles(hasher.words(data, offsets), k)):
                 n = len(found)
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if n else None
-                rows.append((one, n, key, signed(sketch.keys(found)) if n else np.zeros(0, np.int64)))
+                rows.append((one, n, key, signed(sketch.keys(found)) if n else np.zeros(0, np.int64), mark))
             yield from list_rows(wire, rows).to_batches()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, set_key binary, keys array<bigint>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("mark")).mapInArrow(
+        run, "doc_id bigint, n_shingles bigint, set_key binary, keys array<bigint>, mark string"
     )
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, s): sorted distinct shingle hashes per row."""
-    wire = pa.schema([("doc_id", pa.int64()), ("s", pa.list_(pa.int64()))])
+    """(set_key, s): sorted distinct shingle hashes per row."""
+    wire = pa.schema([("set_key", pa.binary()), ("s", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
         for batch in pieces(batches, 1):
             data, offsets = buffers(batch.column(1))
             found = shingles(hasher.words(data, offsets), k)
-            yield from list_rows(wire, [(one, signed(s)) for one, s in zip(batch.column(0).to_pylist(), found)]).to_batches()
+            yield from list_rows(wire, [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signed(s)) for s in found]).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, s array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "set_key binary, s array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,31 +177,35 @@ def strays(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
 
 
 def linked(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFrame:
-    """(set_key, component_id) of the shingle sets in ``table`` (doc_id, n_shingles, set_key, keys): documents that share a
-    key are compared as described above, on the shingle sets of ``docs`` (doc_id, text)."""
+    """(set_key, component_id, component) of the shingle sets in ``table`` (doc_id, n_shingles, set_key, keys): documents that
+    share a key are compared as described above, on the shingle sets of ``docs`` (doc_id, text).  component_id is the smallest
+    doc_id of the component, which unlike ones may share where a doc_id repeats; ``component`` tells them apart."""
     named = table.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
+    node = F.xxhash64("set_key")
+    classes = cut(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")).withColumn("node", node))
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "leftsemi")
-    members = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    members = reps.select(node.alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))  # from here on doc_id is the node
     stars = members.groupBy("key").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("top")).where("c < top").select("key", "c")
     shared = cut(members.join(stars, "key").distinct())  # (key, doc_id, n, c): members of buckets with two documents or more
 
     wanted = shared.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "leftsemi")
-    sets = cut(shingle_sets(texts, k).dropDuplicates(["doc_id"]))
+    named = classes.join(wanted, classes["node"] == wanted["doc_id"], "leftsemi").select(F.col("rep").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id", "leftsemi")
+    sets = shingle_sets(texts, k).select(node.alias("doc_id"), "s").join(wanted, "doc_id", "leftsemi")
+    sets = cut(sets.dropDuplicates(["doc_id"]))
 
     links = cut(confirmed(shared.where("doc_id > c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct(), sets, percent))
     more = cut(confirmed(strays(shared, components(links), sets, percent), sets, percent))
     labels = components(links.union(more))
-    found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    found = cut(classes.join(labels, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component")))
+    return found.join(found.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("set_key", "component_id", "component")
 
 
 def grouped(table: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``table`` (doc_id, set_key and others) with component_id and kept instead of set_key."""
     names = [c for c in table.columns if c != "set_key"]
     return (
-        table.join(found, "set_key", "left")
+        table.join(found.select("set_key", "component_id"), "set_key", "left")
         .select(*names, F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
     )
@@ -208,11 +214,18 @@ def grouped(table: DataFrame, found: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text)."""
     table = cut(sketches(docs, k))
-    return grouped(table.drop("keys"), linked(docs, table, k, percent))
+    return grouped(table.drop("keys", "mark"), linked(docs, table, k, percent))
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies: one row for the smallest doc_id of each group, all columns kept."""
-    kept = near_groups(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    first = docs.join(kept, docs["doc_id"] == kept["kept_id"], "leftsemi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+    """The documents without near copies: one row for the smallest doc_id of each group (of its rows the one with the smallest
+    text digest), all columns kept.  Unlike texts under one doc_id all stay."""
+    mark = F.md5(F.coalesce("text", F.lit("")))
+    table = cut(sketches(docs, k))
+    rows = table.join(linked(docs, table, k, percent).select("set_key", "component"), "set_key", "left")
+    # texts without shingles are alike under one doc_id only
+    best = rows.where("doc_id is not null").groupBy("component", F.when(F.col("component").isNull(), F.col("doc_id")).alias("alone")).agg(F.min(F.struct("doc_id", "mark")).alias("best"))
+    kept = best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.mark").alias("kept_mark"))
+    named = docs.where("doc_id is not null").withColumn("_mark", mark)
+    first = named.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("_mark") == F.col("kept_mark")), "leftsemi")
+    return first.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -14,7 +14,8 @@ position packed below, and a hash match is confirmed on the words.
 
 Edge rows: null or empty texts have no words and fail the base rule; a null stratum is a stratum of its own; labels that
 are null or for unknown ids are ignored, repeated labels of an id count once (the smallest); with no labels only the base
-rule rejects; all columns of ``docs`` are kept by ``apply``; extra columns and equal rows don't matter.
+rule rejects; all columns of ``docs`` are kept by ``apply``, which judges rows without a doc_id or with a repeated one each by
+itself; extra columns and equal rows don't matter.
 """
 
 from __future__ import annotations
@@ -135,10 +136,11 @@ def calibrate(stats: DataFrame, labels: DataFrame, stratum: str, alpha: float =
     return best.where(F.col("gain") >= MIN_GAIN).select(*group, "cutoff")
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """doc_id, the statistics, base_failed, reasons (rules that reject) and kept, per row of ``docs``."""
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, the statistics, base_failed, reasons (rules that reject), kept and ``extra`` columns, per row of ``docs``."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = cut(base_stats(docs, extra=[F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")]).withColumn("base_failed", failed))
+    names = docs.select(*extra).columns
+    stats = cut(base_stats(docs, extra=[F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *extra]).withColumn("base_failed", failed))
     cutoffs = calibrate(stats, labels, "stratum", alpha, delta)
     rows = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
     both = stats.join(rows, "stratum", "left")
@@ -146,12 +148,13 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     reasons = F.when(F.col("cutoffs").isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[hit(r) for r in RULES])))
     return both.withColumn("reasons", reasons).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "reasons",
-        (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"),
+        (~F.col("base_failed") & (F.size("reasons") == 0)).alias("kept"), *names,
     )
 
 
 def apply(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects; rows of one doc_id share a fate (the worst)."""
-    verdict = judge(docs, labels, stratum, alpha, delta)
-    good = verdict.where("doc_id is not null").groupBy(F.col("doc_id").alias("good_id")).agg(F.min("kept").alias("kept")).where("kept")
-    return docs.join(good, docs["doc_id"] == good["good_id"], "leftsemi")
+    """The rows of ``docs`` that no rule rejects, each by its own text and stratum, whatever its doc_id (null, repeated)."""
+    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))), F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    verdict = judge(docs, labels, stratum, alpha, delta, (own.alias("_row"),))
+    good = verdict.where("kept").select(F.col("_row").alias("_good"))
+    return docs.withColumn("_row", own).join(good, F.col("_row") == F.col("_good"), "leftsemi").select(*docs.columns)

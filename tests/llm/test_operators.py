@@ -209,6 +209,28 @@ def test_certified_cutoff(spark):
     assert quality_rules.apply(docs, labels.where("doc_id < 50 or doc_id >= 1000")).count() == 1000
 
 
+def test_rules_keep_rows_without_and_with_repeated_ids(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, good, "en"), (None, "short", "en"), (5, good, "en"), (5, "short", "en"), (6, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = quality_rules.apply(docs, spark.createDataFrame([], "doc_id bigint, quality int"))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(rows[0:3:2], key=str)
+
+
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, a), (6, b), (7, c), (7, ""), (8, a), (None, a), (None, a)]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(5, a), (5, b), (7, c), (7, ""), (None, a), (None, a)], key=str)
+
+
+def test_repeats_of_rows_without_and_with_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(None, a), (None, f"{a} c"), (5, f"{a} d"), (5, f"{b} e"), (5, f"x  {b}"), (6, b), (6, b)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, a), (None, "c"), (5, "d"), (5, f"{b} e"), (5, "x"), (6, ""), (6, "")], key=str)
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7 + 1), "en" if i % 3 else "de", f"src{i % 20}") for i in range(2000)] + [(None, None, None, None), (5000, "", "en", "src0")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")

@@ -196,14 +196,14 @@ def fit_logistic(spark, sf):
 @query("t2_fit_forest")
 def fit_forest(spark, sf):
     s = scored(spark, sf)
-    return ml.fit_forest(s, NUMERIC, "y", trees=20).transform(s).select("event_id", "y", "probability")
+    return ml.fit_forest(s, NUMERIC, "y").transform(s).select("event_id", "y", "probability")
 
 
 @query("t3_isolation_forest")
 def isolation_forest(spark, sf):
     """Share of rows flagged as outliers, which the offset sets to the contamination."""
     s = scored(spark, sf)
-    forest = ml.fit_iforest(s.where("y = 0"), NUMERIC, "event_id", trees=50)
+    forest = ml.fit_iforest(s.where("y = 0"), NUMERIC, "event_id")
     out = forest.score(s.where("y = 0"))
     flagged = F.sum((F.col("anomaly_raw") < 0).cast("bigint"))
     return out.agg(F.count(F.lit(1)).alias("rows"), flagged.alias("flagged"))
@@ -257,11 +257,11 @@ def score_lstm(spark, sf):
 @query("t6_train_report")
 def train_report(spark, sf):
     s = scored(spark, sf)
-    return ml.train_report(s, NUMERIC, "y", trees=20, depth=6)
+    return ml.train_report(s, NUMERIC, "y")
 
 
 @query("m12_score_local")
 def score_local(spark, sf):
     s = scored(spark, sf)
-    out = ml.score_local(s, ml.fit_forest(s, NUMERIC, "y", trees=10, depth=5))
+    out = ml.score_local(s, ml.fit_forest(s, NUMERIC, "y"))
     return out.select("event_id", "probability", "decision")

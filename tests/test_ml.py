@@ -87,3 +87,28 @@ def test_lstm_against_plain_loops(spark):
 def test_background_is_stable(spark, rows):
     first = {r["id"] for r in ml.background(rows, 50, "id", 1).collect()}
     assert len(first) == 50 and first == {r["id"] for r in ml.background(rows.repartition(9), 50, "id", 1).collect()}
+
+
+def test_registered_fits_have_the_reference_size(spark, monkeypatch):
+    """200 trees of depth 8, and 100 isolation trees."""
+    import inspect
+
+    from riskweave.plans import QUERIES
+
+    class Seen(Exception):
+        pass
+
+    def spy(fit):
+        def called(*args, **named):
+            given = inspect.signature(fit).bind(*args, **named)
+            given.apply_defaults()
+            raise Seen(given.arguments["trees"], given.arguments.get("depth"))
+
+        return called
+
+    for name in ("fit_forest", "fit_iforest"):
+        monkeypatch.setattr(ml, name, spy(getattr(ml, name)))
+    for query, size in {"t2_fit_forest": (200, 8), "t3_isolation_forest": (100, None), "t6_train_report": (200, 8), "m12_score_local": (200, 8)}.items():
+        with pytest.raises(Seen) as seen:
+            QUERIES[query](spark, "/root/testdata/sf0.001")
+        assert seen.value.args == size

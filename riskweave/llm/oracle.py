@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from riskweave.llm.chat import CONTROL, MARKS, OTHER
 from riskweave.llm.quality_rules import MIN_GAIN, RULES, STEPS
+from riskweave.llm.url_graph import DAMPING, LINK, MASS, MAX_HOST, ROUNDS, THRESHOLD
 
 RATE = 0.05 / len(RULES)  # the default alpha, shared out among the rules
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,3 +104,62 @@ c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY mix
 SELECT c.doc_id, c.lang, c.source, c.domain AS mix_domain, CAST(mix_epoch AS INT) AS mix_epoch, CAST(tokens AS BIGINT) AS mix_tokens
 FROM c JOIN b3 ON b3.domain = c.domain AND b3.lang = c.lang AND b3.source = c.source WHERE floor(budget) > 0 AND upto <= floor(budget)
 """
+
+
+def urls_sql(rules: list[tuple[str, str, str]], rounds: int = ROUNDS, threshold: int = THRESHOLD) -> str:
+    """Rules as a table, and the rounds of the two ranks as one common table each."""
+    named = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
+    step = ", ".join(
+        f"""r{i} AS (SELECT host, trusted, CAST(sum(mass) AS BIGINT) AS mass FROM (
+  SELECT a.dst AS host, a.trusted, (r.mass * {DAMPING}) // (a.degree * 100) AS mass FROM arc a JOIN r{i - 1} r ON r.host = a.src AND r.trusted = a.trusted
+  UNION ALL SELECT host, trusted, (mass * {100 - DAMPING}) // 100 FROM r0) GROUP BY host, trusted)"""
+        for i in range(1, rounds + 1)
+    )
+    link = LINK.replace("'", "''")
+    return rf"""
+WITH u AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rule(verdict, rhost, rpath) AS (VALUES {named}),
+hit AS (SELECT DISTINCT host, path, verdict, rhost || rpath AS rule FROM (SELECT DISTINCT host, path FROM p), rule
+  WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+top AS (SELECT host, path, arg_min(rule, o) AS rule, arg_min(verdict, o) AS verdict FROM (
+  SELECT *, row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule, verdict DESC) AS o FROM hit) GROUP BY host, path),
+j AS (SELECT page_id, html, p.host, p.path, rule, verdict FROM p LEFT JOIN top ON top.host = p.host AND top.path = p.path),
+far AS (SELECT DISTINCT host AS src, unnest(list_append(list_transform(regexp_extract_all(html, '{link}', 1), lambda x: translate(x, '{UPPER}', '{LOWER}')), host)) AS dst FROM p),
+link AS (SELECT DISTINCT src, dst FROM far WHERE src <> '' AND dst <> '' AND length(src) <= {MAX_HOST} AND length(dst) <= {MAX_HOST}),
+part AS (SELECT string_split(host, '.') AS l FROM (SELECT src AS host FROM link UNION SELECT dst FROM link)),
+tree AS (SELECT DISTINCT array_to_string(l[i:], '.') AS low, array_to_string(l[i + 1:], '.') AS high FROM part, unnest(range(1, len(l) - 1)) t(i)),
+edge AS (SELECT * FROM (SELECT src, dst FROM link UNION SELECT low, high FROM tree UNION SELECT high, low FROM tree) WHERE src <> dst),
+way AS (SELECT src, dst, true AS trusted FROM edge UNION ALL SELECT dst, src, false FROM edge),
+arc AS (SELECT src, dst, trusted, count(*) OVER (PARTITION BY src, trusted) AS degree FROM way),
+vote AS (SELECT host, sum(CASE verdict WHEN 'allow' THEN 1 ELSE -1 END) AS n FROM j WHERE verdict IS NOT NULL AND host <> '' GROUP BY host HAVING n <> 0),
+r0 AS (SELECT host, n > 0 AS trusted, {MASS} // count(*) OVER (PARTITION BY n > 0) AS mass FROM vote),
+{step},
+bad AS (SELECT host FROM r{rounds} GROUP BY host HAVING coalesce(sum(mass) FILTER (NOT trusted), 0) > {threshold} * coalesce(sum(mass) FILTER (trusted), 0))
+SELECT page_id, host, path, rule, CASE WHEN verdict IS NOT NULL THEN verdict WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM j
+"""
+
+
+# crc32 of a text of digits, bit by bit: a byte is folded in, then eight shifts follow (-1).
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv AS VARCHAR), ''),
+  lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END))"""
+TRIE = rf"""
+WITH t AS (SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv, conv - conv % 20 AS root, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv FROM t)),
+s AS (SELECT c.conv, t.i, 0 AS own, role, text FROM c JOIN t ON t.conv = c.root WHERE t.i <= h
+  UNION ALL SELECT c.conv, t.i, 1, role, text FROM c JOIN t ON t.conv = c.conv WHERE t.i > h),
+n AS (SELECT c.conv, coalesce(list([role, text] ORDER BY own, i) FILTER (role IS NOT NULL), []) AS p FROM c LEFT JOIN s ON s.conv = c.conv GROUP BY c.conv),
+x AS (SELECT conv, d, p[:d] AS k, d = len(p) AS last, p[d][2] AS text FROM n, unnest(range(0, len(p) + 1)) u(d)),
+g AS (SELECT d, k, min(conv) AS conv, count(*) AS m,
+  sha256(coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (last), '')) AS ends,
+  CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(any_value(text), '{WORD}')) END AS words FROM x GROUP BY d, k),
+kid AS (SELECT k[:d - 1] AS k, d - 1 AS d, count(*) AS n FROM g WHERE d > 0 GROUP BY ALL),
+w AS (SELECT g.*, coalesce(kid.n, 0) AS kids FROM g LEFT JOIN kid ON kid.d = g.d AND kid.k = g.k),
+sub AS (SELECT a.d, a.k, sum(CASE WHEN b.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((b.m - 1) * b.words) AS saved
+  FROM (SELECT unnest(range(0, d + 1)) AS a, d, k, m, words, kids FROM w) b JOIN w a ON a.d = b.a AND a.k = b.k[:b.a] GROUP BY a.d, a.k)
+SELECT w.conv AS conv_id, CAST(w.d AS BIGINT) AS depth, up.conv AS parent_conv_id, CAST(w.m AS BIGINT) AS n_convs, CAST(w.kids AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, w.ends AS ends_sha256
+FROM w JOIN sub ON sub.d = w.d AND sub.k = w.k LEFT JOIN w up ON up.d = w.d - 1 AND up.k = w.k[:w.d - 1] AND w.d > 0
+"""

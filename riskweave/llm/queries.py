@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, chat, classifier, fingerprint, mixing, near_dedup, pitman_yor, quality_rules, substring, token_counts
-from riskweave.llm.oracle import NEAR, REPEATS, RULES_SQL, TURNS, mix_sql
+from riskweave.llm import bpe, chat, classifier, fingerprint, mixing, near_dedup, pitman_yor, prefix_trie, quality_rules, substring, token_counts, url_graph, whitening
+from riskweave.llm.oracle import NEAR, REPEATS, RULES_SQL, TRIE, TURNS, mix_sql, urls_sql
 from riskweave.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,7 @@ PATTERN = public_tokenizers.PATTERN
 DOMAINS = {"core": 5, "web": 3, "rest": 2}
 WEIGHTS = [*(("domain", n, float(w)) for n, w in DOMAINS.items()), ("lang", "en", 4.0), ("lang", "de", 2.0), ("lang", "fr", 2.0), ("lang", "es", 1.0), ("source", "src0", 2.0)]
 MIX_FRACTION, MIX_EPOCHS = 0.5, 2
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def domain():
@@ -114,6 +115,21 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "component_id", "kept")
 
 
+@query("op11_whitening")
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+@query("op12_url_filters", urls_sql(URL_RULES))
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op13_prefix_trie", TRIE)
+def trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

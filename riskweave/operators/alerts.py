@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.frames import SLICE_ROWS, apply, last_seen, over_trailing, previous
-from riskweave.operators.metrics import SAMPLE_ORDER, counter_increase, histogram_quantile
+from riskweave.operators.metrics import SAMPLE_ORDER, counter_increase, growth, histogram_quantile
 
 
 @dataclass(frozen=True)
@@ -70,20 +70,34 @@ def _expression(samples: DataFrame, kind: str, range_s: int, q: float, **cut) ->
     if kind in ("increase", "rate"):
         grown = counter_increase(samples, SERIES, range_s, "x", **cut)
         return grown.withColumn("x", F.col("x") / float(range_s)) if kind == "rate" else grown
-    grown = counter_increase(samples, [*SERIES, "le"], range_s, "_up", **cut)
-    # One histogram per rule and scrape (time and sequence number): the buckets of all its series are added up first.
-    scrape = ["rule", "ts_long", "seq"]
-    merged = grown.groupBy(*scrape, "le").agg(F.sum("_up").alias("value"), F.min("name").alias("name"))
-    names = merged.groupBy(*scrape).agg(F.min("name").alias("name"))
-    found = histogram_quantile(merged.drop("name"), q, scrape).withColumnRenamed("quantile", "x")
-    return found.join(names, scrape).withColumn("series", F.lit(""))
+    return _quantiles(samples, range_s, q, **cut)
+
+
+def _quantiles(samples: DataFrame, range_s: int, q: float, **cut) -> DataFrame:
+    """The quantile of the summed growth of all buckets of a rule, at every scrape of any of its series.
+
+    Series need not be scraped together.  Each counter's growth is known at its own samples; what the histogram of all series
+    has gained over the range before an instant is the sum of all growth in that range, by edge, whichever series it came
+    from.  So growth is added up per edge and second, and one trailing sum per edge runs over the instants of all series.
+    A series without a sample in the range adds nothing.
+    """
+    grown = growth(samples, [*SERIES, "le"], "_up", **cut)
+    edges = grown.select("rule", "le").distinct()
+    # one row per instant and edge of the rule: an instant of one series may lack edges that others have
+    instants = grown.select("rule", "ts_long").distinct().join(edges, "rule")
+    gains = grown.groupBy("rule", "le", "ts_long").agg(F.sum("_up").alias("_up"))
+    steps = instants.join(gains, ["rule", "le", "ts_long"], "left").withColumn("_up", F.coalesce("_up", F.lit(0.0)))
+    merged = over_trailing(steps, ["rule", "le"], "ts_long", {"value": ("sum", "_up", range_s)}, **cut)
+    found = histogram_quantile(merged.drop("_up"), q, ["rule", "ts_long"]).withColumnRenamed("quantile", "x")
+    scrapes = samples.groupBy("rule", "ts_long", "seq").agg(F.min("name").alias("name"))
+    return scrapes.join(found, ["rule", "ts_long"]).withColumn("series", F.lit(""))
 
 
 def eval_alerts(samples: DataFrame, rules: list[Rule] = RULES, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
     """State of every rule at every matching sample.
 
     ``samples``: ``name, series, ts_long, seq, value``, for histogram buckets ``le``, and a ``status`` label where there is one.
-    A quantile rule has one state for all its series (``series`` is empty).
+    A quantile rule has one state for all its series (``series`` is empty), evaluated at the scrapes of any of them.
     Result: ``rule, name, series, ts_long, seq, x, since, state`` with state ``ok``, ``pending`` or ``firing``;
     ``since`` is the start of the unbroken run of samples over the bound.  Rules of one kind and range share a pass.
     """

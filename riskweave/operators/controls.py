@@ -8,14 +8,21 @@ Each control is a step function ``(state, row) -> (state, outputs)``; the batch
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from riskweave.operators.fold import heads, ordered_fold
+from riskweave.operators import frames
+from riskweave.operators.fold import ordered_fold
+from riskweave.operators.transfer import Bucket, Hold, heads
+from riskweave.session import cut as write_table
 
 # Defaults of the served controls.
 IDEMPOTENCY_TTL = 600
@@ -134,22 +141,37 @@ def drift_step(edges: dict[str, list[float]], expected: dict[str, list[float]],
 
 
 def dedup_ttl(df: DataFrame, key: list[str], order: list[str], ttl: float = IDEMPOTENCY_TTL, **cut) -> DataFrame:
-    """Add ``accepted``: the first row of a key, and again the first one at least ``ttl`` after an accepted one."""
-    return ordered_fold(df, key, order, ["now"], ACCEPTED, ttl_step(ttl), **cut)
+    """Add ``accepted``: the first row of a key, and again the first one at least ``ttl`` after an accepted one.  Rows are taken
+    by ``now``; ``order`` decides among rows of one time."""
+
+    def holds(now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        now = now[~np.isnan(now)]
+        return now, now + ttl
+
+    return ordered_fold(df, key, ["now", *order], ["now"], ACCEPTED, ttl_step(ttl), transfer=Hold(holds), **cut)
 
 
 def replay_guard(df: DataFrame, token: str, order: list[str], exp: str = "exp", **cut) -> DataFrame:
-    """Add ``reason`` (``ok``, ``missing_jti``, ``expired``, ``replay``) per token id.  Rows without an id need no state."""
+    """Add ``reason`` (``ok``, ``missing_jti``, ``expired``, ``replay``) per token id.  Rows without an id need no state; the others
+    are taken by ``now``, and ``order`` decides among rows of one time."""
+
+    def holds(now: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = until - now > 0  # false for NaN
+        return now[good], until[good]
+
     bare = df.where(F.col(token).isNull()).withColumn("reason", F.lit("missing_jti"))
     known = df.where(F.col(token).isNotNull())
-    return ordered_fold(known, [token], order, ["now", exp], REPLAY, replay_step(), **cut).unionByName(bare)
+    checked = ordered_fold(known, [token], ["now", *order], ["now", exp], REPLAY, replay_step(), transfer=Hold(holds), **cut)
+    return checked.unionByName(bare)
 
 
 def token_bucket(
     df: DataFrame, key: list[str], order: list[str], capacity: int = BUCKET_CAPACITY, per_minute: float = BUCKET_PER_MINUTE, **cut
 ) -> DataFrame:
-    """Add ``allowed`` and ``tokens`` left; refills are whole tokens since the last allowed row."""
-    return ordered_fold(df, key, order, ["now"], BUCKET, bucket_step(capacity, per_minute), **cut)
+    """Add ``allowed`` and ``tokens`` left; refills are whole tokens since the last allowed row.  Rows are taken by ``now``;
+    ``order`` decides among rows of one time."""
+    transfer = Bucket(capacity, per_minute) if capacity > 0 and per_minute >= 0 else None
+    return ordered_fold(df, key, ["now", *order], ["now"], BUCKET, bucket_step(capacity, per_minute), transfer=transfer, **cut)
 
 
 def breaker(
@@ -167,13 +189,67 @@ def breaker(
 
 def running_drift(
     df: DataFrame, edges: dict[str, list[float]], expected: dict[str, list[float]], key: list[str], order: list[str],
-    window: int = DRIFT_WINDOW, **cut,
+    window: int = DRIFT_WINDOW, crit: float = 0.3, limit: int | None = None, rows: int = frames.SLICE_ROWS,
 ) -> DataFrame:
     """Add running ``psi`` and ``alert`` to rows ``feature, value``.
 
     ``key`` holds ``feature`` and the monitor a row reports to, as every scoring replica watches its own traffic.
+
+    When counts decay follows from a row's number alone: after the first ``window`` rows, then each time the rows kept by the
+    decay are filled up again.  So rows are numbered, cut into segments that end with a decay, and counted per segment and
+    bin in parallel; only the totals of the segments, one row for hundreds, run in order.  A row's counts are the decayed ones
+    its segment starts with plus those of its segment so far; segments have at most ``window`` rows whatever the key's size.
+    Results are those of :func:`drift_step`; features without edges have null results.
     """
-    return ordered_fold(df, key, order, ["feature", "value"], RUNNING_PSI, drift_step(edges, expected, window), **cut)
+    step = window - int(window * DRIFT_DECAY)
+    width = max(map(len, expected.values()))
+    number = frames.running(key, order, {"_rn": (F.lit(1).cast("long"), "sum")})
+    numbered = frames.apply(df, key, order, [number], limit, rows)
+    segment = F.when(F.col("_rn") <= window, 0).otherwise(F.floor((F.col("_rn") - window - 1) / step) + 1)
+    value = F.when(~F.isnan(F.col("value").cast("double")), F.col("value").cast("double"))
+    numbered = write_table(numbered.withColumns({"_seg": segment.cast("long"), "_bin": _bin(value, edges)}))
+
+    group = [*key, "_seg"]
+    ones = [F.when(F.col("_bin") == i, 1.0).otherwise(0.0) for i in range(width)]
+    totals = numbered.groupBy(*group).agg(*[F.sum(one).alias(f"_b{i}") for i, one in enumerate(ones)])
+
+    def decayed(state, row):
+        held = state or [0.0] * width
+        return [float(int((c + n) * DRIFT_DECAY)) for c, n in zip(held, row)], tuple(held)
+
+    names = [f"_b{i}" for i in range(width)]
+    start = T.StructType([T.StructField(f"_h{i}", T.DoubleType()) for i in range(width)])
+    bases = ordered_fold(totals, key, ["_seg"], names, start, decayed, limit=sys.maxsize).drop(*names)
+    within = W.partitionBy(*group).orderBy("_rn").rowsBetween(W.unboundedPreceding, 0)
+    counted = numbered.withColumns({f"_n{i}": F.sum(one).over(within) for i, one in enumerate(ones)})
+    joined = counted.join(frames.renamed(bases, group), frames.same(group))
+    found = joined.withColumn("psi", _psi([F.col(f"_h{i}") + F.col(f"_n{i}") for i in range(width)], expected))
+    return found.select(*df.columns, "psi", (F.col("psi") >= crit).alias("alert"))
+
+
+def _bin(value: Column, edges: dict[str, list[float]]) -> Column:
+    """The bin of a value of the row's feature: the first whose upper edge exceeds it, else the last; null below the first edge."""
+    out = F.lit(None).cast("int")
+    for name, bounds in edges.items():
+        place = F.lit(len(bounds) - 2)
+        for i in range(len(bounds) - 3, -1, -1):
+            place = F.when(value < bounds[i + 1], i).otherwise(place)
+        out = F.when(F.col("feature") == name, F.when(value >= bounds[0], place)).otherwise(out)
+    return out
+
+
+def _psi(counts: list[Column], expected: dict[str, list[float]]) -> Column:
+    out = F.lit(None).cast("double")
+    for name, shares in expected.items():
+        own = counts[: len(shares)]
+        total = F.greatest(reduce(lambda a, b: a + b, own), F.lit(0.0))
+        total = F.when(total == 0, 1.0).otherwise(total)
+        terms = F.lit(0.0)
+        for n, e in zip(own, shares):
+            o, e = F.greatest(n / total, F.lit(1e-6)), max(e, 1e-6)
+            terms = terms + (o - e) * F.log(o / e)
+        out = F.when(F.col("feature") == name, terms).otherwise(out)
+    return out
 
 
 def hash_chain(df: DataFrame, key: list[str], order: list[str], payload: str) -> DataFrame:

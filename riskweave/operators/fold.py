@@ -4,7 +4,9 @@ Rows are shuffled by key, sorted inside the task, and streamed through ``mapInAr
 held in memory.  Columns that the step doesn't read pass through as they came; keys and inputs reach it as plain Python
 values, so a null stays null and a large integer stays exact.  A NaN key equals itself.
 
-A hot key is cut into time slices that run side by side.  A slice first runs from the empty state; where the state its
+A hot key is cut into time slices that run side by side.  Folds with a ``transfer`` function get the entry state of every
+slice from a scan over the slices' transfer tables (:mod:`riskweave.operators.transfer`), whether or not they forget their
+past.  For the others a slice first runs from the empty state; where the state its
 predecessor really ends with differs, that slice runs again.  Folds that forget their past settle in ``ROUNDS`` such
 rounds.  A key that has not settled by then is run once more in order, from its first unsettled slice to its end, as one
 stream: at most ``ROUNDS`` + 2 passes over the rows, whatever the number of slices.  The result is the sequential one.
@@ -22,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
 from riskweave.operators.frames import SLICE_ROWS, renamed, same, split
+from riskweave.operators.transfer import Transfer, entries, heads
 from riskweave.session import cut as write_table
 
 ROUNDS = 2  # rounds in which all unsettled slices run again side by side
@@ -30,17 +33,6 @@ State = list[float] | None
 Step = Callable[[State, tuple], tuple[State, tuple]]
 
 
-def heads(batch: pa.RecordBatch, names: list[str]) -> list[tuple]:
-    """The named columns row by row, in values that equal themselves (also NaN)."""
-    columns = []
-    for name in names:
-        values = batch.column(name).to_pylist()
-        if pa.types.is_floating(batch.column(name).type):
-            values = ["nan" if v != v else v for v in values]
-        columns.append(values)
-    return list(zip(*columns))
-
-
 def _runner(group: list[str], inputs: list[str], outputs: T.StructType | None, step: Step, carried: int):
     """Rows with ``outputs``, or without them one row per group and its last state.  Groups whose first ``carried`` values
     are those of the group before go on with its state (0: none do)."""
@@ -93,6 +85,12 @@ def _ends(df: DataFrame, key: list[str], order: list[str], inputs: list[str], st
     return kept.mapInArrow(_runner(group, inputs, None, step, len(key) if carry else 0), schema)
 
 
+def _entered(hot: DataFrame, states: DataFrame, group: list[str], order: list[str], inputs: list[str], outputs: T.StructType, step: Step) -> DataFrame:
+    """The rows of all slices, run side by side from their entry ``states``."""
+    ready = hot.join(renamed(states, group), same(group)).drop(*[f"_h_{c}" for c in group])
+    return _rows(ready, group, order, inputs, outputs, step).drop("_slice")
+
+
 def ordered_fold(
     df: DataFrame,
     key: list[str],
@@ -102,6 +100,7 @@ def ordered_fold(
     step: Step,
     limit: int | None = None,
     rows: int = SLICE_ROWS,
+    transfer: Transfer | None = None,
 ) -> DataFrame:
     """Add ``outputs`` of ``step(state, inputs) -> (state, outputs)``; the state is a list of doubles, null at first."""
     empty = F.lit(None).cast("array<double>")
@@ -111,6 +110,8 @@ def ordered_fold(
         return cold
     group = [*key, "_slice"]
     lean = parts.hot.select(*dict.fromkeys([*group, *order, *inputs]))
+    if transfer is not None:
+        return cold.unionByName(_entered(parts.hot, entries(lean, key, order, inputs, transfer), group, order, inputs, outputs, step))
     ends = write_table(_ends(lean.withColumn("_entry", empty), key, order, inputs, step).withColumn("_entry", empty))
     handed = F.lag("_exit").over(W.partitionBy(*key).orderBy("_slice"))
     for number in range(ROUNDS + 1):
@@ -130,7 +131,5 @@ def ordered_fold(
         wanted = renamed(stale, group)
         fresh = redone.join(wanted, same(group), "left").select(*group, "_exit", "_entry")
         ends = write_table(kept.unionByName(fresh))
-    entries = renamed(ends.select(*group, handed.alias("_entry")), group)
-    hot = parts.hot.join(entries, same(group)).drop(*[f"_h_{c}" for c in group])
-    done = _rows(hot, group, order, inputs, outputs, step).drop("_slice")
-    return cold.unionByName(done)
+    settled = ends.select(*group, handed.alias("_entry"))
+    return cold.unionByName(_entered(parts.hot, settled, group, order, inputs, outputs, step))

@@ -8,6 +8,7 @@ slices of about ``rows`` rows:
 * ``previous``  - frames that look back a fixed number of rows; a slice gets the last rows of the slices before
   it as a halo.
 * ``last_seen`` - newest non-null value so far; slices hand their last value on.
+* ``running``   - sums and XORs so far; slices hand their totals on.
 * ``trailing``  - aggregates over the last *s* seconds, for all keys alike.  They depend on key and second only, so rows
   collapse to one per second first.  Time is cut into panes; a frame is its own pane's prefix, the whole panes in
   between, and the oldest pane's suffix, so that each second costs O(1) however long the frame.  Tasks hold panes, so
@@ -149,6 +150,28 @@ def last_seen(key: list[str], order: list[str], value: str, name: str) -> Op:
     return Op(plain, cut)
 
 
+def running(key: list[str], order: list[str], made: dict[str, tuple[Column, str]]) -> Op:
+    """Add running aggregates up to and including the row: ``made`` maps a new column to (value, ``sum`` or ``bit_xor``)."""
+    merge = {"sum": (F.sum, lambda a, b: a + b), "bit_xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b))}
+
+    def up_to(*part: str) -> WindowSpec:
+        return W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+
+    def plain(part: DataFrame) -> DataFrame:
+        return part.withColumns({n: merge[how][0](v).over(up_to(*key)) for n, (v, how) in made.items()})
+
+    def cut(part: DataFrame) -> DataFrame:
+        group = [*key, "_slice"]
+        totals = part.groupBy(*group).agg(*[merge[how][0](v).alias(f"_c_{n}") for n, (v, how) in made.items()])
+        before = W.partitionBy(*key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+        carry = totals.select(*group, *[F.coalesce(merge[how][0](f"_c_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n, (_, how) in made.items()])
+        joined = part.join(renamed(carry, group), same(group))
+        here = {n: merge[how][1](merge[how][0](v).over(up_to(*group)), F.col(f"_c_{n}")) for n, (v, how) in made.items()}
+        return joined.withColumns(here).select(*part.columns, *here)
+
+    return Op(plain, cut)
+
+
 def pane_seconds(lengths: list[int]) -> int | None:
     """The longest common divisor of the lengths up to ``PANE_SECONDS``, if no frame needs more than ``PANES`` of it; for one
     length without such a divisor about its square root or ``PANE_SECONDS``; none for several."""

@@ -83,6 +83,11 @@ def _steps(series: list[str], columns: dict[str, str]) -> Op:
     return previous(series, SAMPLE_ORDER, 1, lambda w: {new: _grown(c, w) for c, new in columns.items()})
 
 
+def growth(samples: DataFrame, series: list[str], out: str, limit: int | None = None, rows: int = SLICE_ROWS) -> DataFrame:
+    """Add ``out``: what a counter gained since the sample before; a drop means a restart from zero."""
+    return apply(samples, series, SAMPLE_ORDER, [_steps(series, {"value": out})], limit, rows)
+
+
 def counter_increase(
     samples: DataFrame, series: list[str], range_s: int, out: str = "increase", limit: int | None = None, rows: int = SLICE_ROWS
 ) -> DataFrame:

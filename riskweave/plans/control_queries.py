@@ -30,11 +30,11 @@ def keyed(key: str, extra: str = "") -> str:
     return f"""rows AS MATERIALIZED (SELECT *, {key} AS key, epoch(ts) AS now{extra}, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM tx)"""
 
 
-def ttl_sql(ttl: int) -> str:
+def ttl_sql(ttl: int, key: str = "concat(account_id, device_id)") -> str:
     return "WITH RECURSIVE " + ",\n".join(
         [
             TX,
-            keyed("concat(account_id, device_id)"),
+            keyed(key),
             f"""f AS (SELECT event_id, key, rn, true AS accepted, now + {ttl} AS until FROM rows WHERE rn = 1
   UNION ALL SELECT r.event_id, r.key, r.rn, r.now >= f.until, CASE WHEN r.now >= f.until THEN r.now + {ttl} ELSE f.until END
   FROM f JOIN rows r ON r.key = f.key AND r.rn = f.rn + 1)""",
@@ -58,8 +58,13 @@ def dedup_cut(spark, sf):
     return controls.dedup_ttl(stamped(spark, sf), ["idem"], ORDER, 86_400, **cut_all(spark, sf, 10)).select("event_id", "accepted")
 
 
-@query(
-    "x5_replay_guard",
+@query("x4_dedup_ttl_dense_keys", ttl_sql(86_400, "channel"))
+def dedup_dense(spark, sf):
+    """Very few keys, each with a row in every slice: states pass through dozens of slices."""
+    return controls.dedup_ttl(stamped(spark, sf), ["channel"], ORDER, 86_400, **cut_all(spark, sf)).select("event_id", "accepted")
+
+
+REPLAY_SQL = (
     "WITH RECURSIVE "
     + ",\n".join(
         [
@@ -71,36 +76,56 @@ def dedup_cut(spark, sf):
     CASE WHEN late OR r.now < f.until THEN f.until ELSE r.exp END FROM f JOIN g r ON r.key = f.key AND r.rn = f.rn + 1)""",
         ]
     )
-    + "\nSELECT event_id, reason FROM f UNION ALL SELECT event_id, 'missing_jti' FROM tx WHERE k % 17 = 0",
+    + "\nSELECT event_id, reason FROM f UNION ALL SELECT event_id, 'missing_jti' FROM tx WHERE k % 17 = 0"
 )
-def replay_guard(spark, sf):
-    t = stamped(spark, sf).withColumns(
+
+
+def tokens_of(spark, sf):
+    return stamped(spark, sf).withColumns(
         {
             "jti": F.when(F.col("k") % 17 != 0, F.col("idem")),
             "exp": (F.col("ts_long") + (F.col("k") % 4) * 50_000).cast("double"),
         }
     )
-    return controls.replay_guard(t, "jti", ORDER).select("event_id", "reason")
 
 
-BUCKET_SQL = "WITH RECURSIVE " + ",\n".join(
-    [
-        TX,
-        keyed("account_id"),
-        """f AS (SELECT event_id, key, rn, true AS allowed, 2::BIGINT AS tokens, now AS last FROM rows WHERE rn = 1
+@query("x5_replay_guard", REPLAY_SQL)
+def replay_guard(spark, sf):
+    return controls.replay_guard(tokens_of(spark, sf), "jti", ORDER).select("event_id", "reason")
+
+
+@query("x5_replay_guard_cut_keys", REPLAY_SQL)
+def replay_guard_cut(spark, sf):
+    """The same with every token id above five rows cut into slices."""
+    return controls.replay_guard(tokens_of(spark, sf), "jti", ORDER, **cut_all(spark, sf, 5)).select("event_id", "reason")
+
+
+def bucket_sql(key: str = "account_id") -> str:
+    return "WITH RECURSIVE " + ",\n".join(
+        [
+            TX,
+            keyed(key),
+            """f AS (SELECT event_id, key, rn, true AS allowed, 2::BIGINT AS tokens, now AS last FROM rows WHERE rn = 1
   UNION ALL SELECT event_id, key, rn, free >= 0, CASE WHEN free >= 0 THEN free ELSE tokens END, CASE WHEN free >= 0 THEN now ELSE last END FROM
   (SELECT r.event_id, r.key, r.rn, r.now, f.tokens, f.last, least(3, f.tokens + CAST(floor((r.now - f.last) / 60 * 0.002::DOUBLE) AS BIGINT)) - 1 AS free
    FROM f JOIN rows r ON r.key = f.key AND r.rn = f.rn + 1) s)""",
-    ]
-) + "\nSELECT event_id, allowed, CASE WHEN allowed THEN tokens ELSE 0 END AS tokens FROM f"
+        ]
+    ) + "\nSELECT event_id, allowed, CASE WHEN allowed THEN tokens ELSE 0 END AS tokens FROM f"
 
 
-@query("x6_token_bucket", BUCKET_SQL)
+@query("x6_token_bucket", bucket_sql())
 def token_bucket(spark, sf):
     return controls.token_bucket(stamped(spark, sf), ["account_id"], ORDER, 3, 0.002).select("event_id", "allowed", "tokens")
 
 
-@query("x6_token_bucket_cut_keys", BUCKET_SQL)
+@query("x6_token_bucket_dense_keys", bucket_sql("channel"))
+def token_bucket_dense(spark, sf):
+    """Very few keys that are always short of tokens, cut into slices whose entry states never repeat."""
+    out = controls.token_bucket(stamped(spark, sf), ["channel"], ORDER, 3, 0.002, **cut_all(spark, sf))
+    return out.select("event_id", "allowed", "tokens")
+
+
+@query("x6_token_bucket_cut_keys", bucket_sql())
 def token_bucket_cut(spark, sf):
     """The same with every account above 30 rows cut into slices."""
     out = controls.token_bucket(stamped(spark, sf), ["account_id"], ORDER, 3, 0.002, **cut_all(spark, sf))
@@ -135,15 +160,15 @@ EDGES = {"amount": [0.0, 15.0, 35.0, 70.0, 150.0], "k": [0.0, 25.0, 50.0, 75.0,
 EXPECTED = {name: [0.25] * 4 for name in EDGES}
 
 
-def drift_rows(spark, sf):
-    """Both features of every transaction, each reported to one of sixteen monitors."""
+def drift_rows(spark, sf, monitors=16):
+    """Both features of every transaction, each reported to one of the monitors."""
     t = stamped(spark, sf)
     cells = [F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in EDGES]
-    long = t.select("event_id", "ts", "ts_long", (F.col("user_id") % 16).alias("monitor"), F.explode(F.array(*cells)).alias("c"))
+    long = t.select("event_id", "ts", "ts_long", (F.col("user_id") % monitors).alias("monitor"), F.explode(F.array(*cells)).alias("c"))
     return long.select("event_id", "ts", "ts_long", "monitor", "c.*")
 
 
-def psi_sql() -> str:
+def psi_sql(monitors: int = 16) -> str:
     terms = " + ".join(
         f"(greatest(c{i} / greatest(c0 + c1 + c2 + c3, 1), 1e-6::DOUBLE) - 0.25::DOUBLE) * ln(greatest(c{i} / greatest(c0 + c1 + c2 + c3, 1), 1e-6::DOUBLE) / 0.25::DOUBLE)"
         for i in range(4)
@@ -155,8 +180,8 @@ def psi_sql() -> str:
         [
             TX,
             f"""rows AS MATERIALIZED (SELECT *, CAST({bounds} AS INTEGER) AS bin, row_number() OVER (PARTITION BY feature, monitor ORDER BY ts, event_id) AS rn FROM
-  (SELECT event_id, ts, user_id % 16 AS monitor, 'amount' AS feature, amount AS v FROM tx
-   UNION ALL SELECT event_id, ts, user_id % 16, 'k', k::DOUBLE FROM tx) u)""",
+  (SELECT event_id, ts, user_id % {monitors} AS monitor, 'amount' AS feature, amount AS v FROM tx
+   UNION ALL SELECT event_id, ts, user_id % {monitors}, 'k', k::DOUBLE FROM tx) u)""",
             f"""f AS (SELECT CAST(NULL AS BIGINT) AS event_id, feature, monitor, 0::BIGINT AS rn, 0::DOUBLE AS n, 0::DOUBLE AS c0, 0::DOUBLE AS c1, 0::DOUBLE AS c2, 0::DOUBLE AS c3,
     0::DOUBLE AS psi FROM rows WHERE rn = 1
   UNION ALL SELECT event_id, feature, monitor, rn, CASE WHEN m >= 200 THEN floor(m * 0.9::DOUBLE) ELSE m END, {decayed}, {terms} FROM
@@ -172,6 +197,13 @@ def running_drift(spark, sf):
     return out.select("event_id", "feature", F.round("psi", 6).alias("psi"), "alert")
 
 
+@query("x8_running_drift_one_monitor", psi_sql(1))
+def running_drift_one(spark, sf):
+    """All rows of a feature under one key, cut into slices."""
+    out = controls.running_drift(drift_rows(spark, sf, 1), EDGES, EXPECTED, ["feature", "monitor"], ORDER, window=200, **cut_all(spark, sf))
+    return out.select("event_id", "feature", F.round("psi", 6).alias("psi"), "alert")
+
+
 @query(
     "x10_hash_chain",
     """WITH RECURSIVE rows AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),

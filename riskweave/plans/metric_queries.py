@@ -472,3 +472,36 @@ def latency_samples(spark, sf):
 def latency_alert(spark, sf):
     rule = alerts.Rule("HighLatencyP95", "request_latency_ms", "quantile", ">", 180, 7200, 3600, 0.95)
     return alerts.eval_alerts(latency_samples(spark, sf), [rule]).select("seq", F.round("x", 4).alias("x"), "state")
+
+
+STAGGERED = 3  # instances that are scraped in turn
+
+
+def staggered_samples(spark, sf):
+    """The same counters from several instances, each scraped at its own events only."""
+    return latency_samples(spark, sf).withColumn("series", F.concat(F.lit("i"), (F.col("seq") % STAGGERED).cast("string")))
+
+
+@query(
+    "x9_latency_quantile_alert_staggered",
+    with_sql(
+        TX,
+        f"""cells AS (SELECT ts_long, event_id AS seq, event_id % {STAGGERED} AS series, le::DOUBLE AS le, ((event_id // 1000) // 2 * (fast + late) + CASE WHEN event_id // 1000 % 2 = 1 THEN fast ELSE 0 END) * 1000
+    + CASE WHEN event_id // 1000 % 2 = 1 THEN late ELSE fast END * (event_id % 1000) AS value
+  FROM tx, (VALUES ('50', 3, 1), ('100', 6, 2), ('200', 8, 7), ('inf', 10, 10)) b(le, fast, late))""",
+        """diffs AS (SELECT *, lag(value) OVER (PARTITION BY series, le ORDER BY ts_long, seq) AS before FROM cells)""",
+        """steps0 AS (SELECT *, CASE WHEN before IS NULL THEN 0 WHEN value >= before THEN value - before ELSE value END AS g FROM diffs)""",
+        """moment AS (SELECT DISTINCT ts_long FROM cells)""",
+        """gain AS (SELECT le, ts_long, sum(g) AS g FROM steps0 GROUP BY le, ts_long)""",
+        """back AS (SELECT moment.ts_long, gain.le, sum(gain.g) AS value FROM moment JOIN gain ON gain.ts_long BETWEEN moment.ts_long - 3600 AND moment.ts_long GROUP BY ALL)""",
+        """hist AS (SELECT c.ts_long, c.seq, b.le, b.value FROM (SELECT DISTINCT ts_long, seq FROM cells) c JOIN back b ON b.ts_long = c.ts_long)""",
+        QUANTILE.format(q="0.95::DOUBLE", by="ts_long, seq"),
+        f"""judged AS (SELECT ts_long, seq, {QUANTILE_VALUE} AS x FROM first)""",
+        """marks AS (SELECT *, x > 180 AS over, coalesce(lag(x > 180) OVER (ORDER BY ts_long, seq), false) AS was FROM judged)""",
+        """runs AS (SELECT *, last_value(CASE WHEN over AND NOT was THEN ts_long END IGNORE NULLS) OVER (ORDER BY ts_long, seq ROWS UNBOUNDED PRECEDING) AS since FROM marks)""",
+        body="SELECT seq, round(x, 4) AS x, CASE WHEN NOT over THEN 'ok' WHEN ts_long - since >= 7200 THEN 'firing' ELSE 'pending' END AS state FROM runs",
+    ),
+)
+def latency_alert_staggered(spark, sf):
+    rule = alerts.Rule("HighLatencyP95", "request_latency_ms", "quantile", ">", 180, 7200, 3600, 0.95)
+    return alerts.eval_alerts(staggered_samples(spark, sf), [rule]).select("seq", F.round("x", 4).alias("x"), "state")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.operators import controls, fold
+from riskweave.operators import controls, transfer
 
 ORDER = ["now", "id"]
 
@@ -91,16 +91,50 @@ def test_cut_key_equals_sequential(spark, make):
 
 @pytest.mark.parametrize(
     "make",
-    [lambda df, **c: controls.dedup_ttl(df, ["key"], ORDER, 600, **c), lambda df, **c: controls.token_bucket(df, ["key"], ORDER, 3, 1.5, **c)],
+    [
+        lambda df, **c: controls.dedup_ttl(df, ["key"], ORDER, 600, **c),
+        lambda df, **c: controls.token_bucket(df, ["key"], ORDER, 3, 1.5, **c),
+        lambda df, **c: controls.replay_guard(df.withColumn("exp", F.col("now") + F.col("id") % 900), "key", ORDER, **c),
+    ],
 )
-def test_dense_hot_key_settles_in_few_passes(spark, monkeypatch, make):
-    """A row every 7 seconds: each slice's end depends on its start, so no slice settles before the one in front of it."""
-    written, write = [], fold.write_table
-    monkeypatch.setattr(fold, "write_table", lambda df: written.append(1) or write(df))
+def test_dense_hot_key_in_64_slices_takes_logarithmic_passes(spark, monkeypatch, make):
+    """A row every 7 seconds: each slice's end depends on its start, so no slice knows its entry by itself."""
+    written, write = [], transfer.write_table
+    monkeypatch.setattr(transfer, "write_table", lambda df: written.append(1) or write(df))
     df = spark.range(1600).select("id", F.lit("hot").alias("key"), (F.col("id") * 7.0).alias("now"))
-    cut = make(df, limit=30, rows=25).orderBy("id").collect()
-    assert len(written) <= 2 + 3 * (fold.ROUNDS + 1)
-    assert cut == make(df).orderBy("id").collect()
+    cut = make(df, limit=30, rows=25)
+    assert len(written) == 3 + 6  # bounds, tables, entries; six doublings
+    assert cut.orderBy("id").collect() == make(df).orderBy("id").collect()
+
+
+def test_rows_out_of_order_nulls_and_lone_slices(spark):
+    rows = [(i, "hot", now, True) for i, now in enumerate([5.0, None, 1.0, float("nan"), 1.0, 70.0, 3.0, None, 64.0, 66.0])]
+    df = spark.createDataFrame(rows, "id long, key string, now double, failed boolean")
+    for make in (lambda **c: controls.dedup_ttl(df, ["key"], ["id"], 60, **c), lambda **c: controls.token_bucket(df, ["key"], ["id"], 1, 1.0, **c)):
+        assert make(limit=1, rows=1).drop("now").orderBy("id").collect() == make().drop("now").orderBy("id").collect()
+    accepted = {r["id"]: r["accepted"] for r in controls.dedup_ttl(df, ["key"], ["id"], 60).collect()}
+    assert accepted == {0: False, 1: None, 2: True, 3: None, 4: False, 5: False, 6: False, 7: None, 8: True, 9: False}
+
+
+@pytest.mark.parametrize("cut", [{}, {"limit": 20, "rows": 37}])
+@pytest.mark.parametrize("window", [1, 3, 10, 64])
+def test_running_drift_equals_the_fold(spark, cut, window):
+    edges, expected = {"f": [0.0, 1.0, 2.0, 3.0], "g": [10.0, 20.0, 30.0]}, {"f": [0.2, 0.3, 0.5], "g": [0.5, 0.5]}
+    rng = random.Random(window)
+    rows = [(i, rng.choice("fg"), "m" if rng.random() < 0.8 else "n", rng.choice([-1.0, 0.0, 0.5, 1.0, 2.5, 3.0, 25.0, 99.0, None, float("nan")])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, feature string, monitor string, value double")
+    out = controls.running_drift(df, edges, expected, ["feature", "monitor"], ["id"], window=window, **cut)
+    got = {r["id"]: (r["psi"], r["alert"]) for r in out.collect()}
+    step, states = controls.drift_step(edges, expected, window), {}
+    for i, feature, monitor, value in rows:
+        states[feature, monitor], (psi, alert) = step(states.get((feature, monitor)), (feature, value))
+        assert got[i][0] == pytest.approx(psi, abs=1e-12) and got[i][1] == alert, i
+
+
+def test_running_drift_of_an_unknown_feature_is_null(spark):
+    df = spark.createDataFrame([(1, "x", 1.0), (2, None, 1.0)], "id long, feature string, value double")
+    out = controls.running_drift(df, {"f": [0.0, 1.0]}, {"f": [1.0]}, ["feature"], ["id"]).collect()
+    assert [(r["psi"], r["alert"]) for r in out] == [(None, None)] * 2
 
 
 def test_fold_keeps_nulls_and_large_integers(spark):

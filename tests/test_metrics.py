@@ -80,6 +80,26 @@ def test_quantile_rule_adds_up_series(spark):
     assert out == [("", pytest.approx(95.0), "pending")]
 
 
+@pytest.mark.parametrize("late", [0, 1, 20])
+def test_quantile_rule_adds_up_series_scraped_apart(spark, late):
+    """A fast and a slow instance of equal traffic; the second one is scraped ``late`` seconds after the first."""
+    rows, seq = [], 0
+    for at in range(0, 241, 60):
+        for series, slow, shift in (("a", 0.0, 0), ("b", 1.0, late)):
+            for le, share in ((50.0, 1.0 - slow), (100.0, 1.0), (float("inf"), 1.0)):
+                rows.append(("request_latency_ms_bucket", series, at + shift, seq, share * at, le))
+            seq += 1
+    rows.append(("request_latency_ms_bucket", "gone", 0, seq, 1e9, 50.0))  # one sample: no growth, and edges of its own
+    s = spark.createDataFrame(rows, "name string, series string, ts_long long, seq long, value double, le double")
+    for cut in ({}, {"limit": 1, "rows": 3}):
+        out = alerts.eval_alerts(s, **cut).where("ts_long >= 120").collect()
+        assert len(out) >= 5 and {r["series"] for r in out} == {""}
+        # half of all requests under 50 ms: the 95th percentile lies nine tenths into the next bucket
+        exact = [r["x"] for r in out if late == 0 or r["ts_long"] % 60]
+        assert exact == [pytest.approx(95.0)] * len(exact)
+        assert {r["state"] for r in out} <= {"pending", "firing"} and max(r["x"] for r in out) < 97
+
+
 def test_run_summary_floor_index(spark):
     rows = [(i, 200 if i else 500, "FRAUD" if i % 2 else "NORMAL", float(v)) for i, v in enumerate([4, 1, 3, 2])] + [(10, 200, None, None)]
     out = metrics.run_summary(spark.createDataFrame(rows, "ts_long long, status int, decision string, duration_ms double")).first()

@@ -28,7 +28,6 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from riskweave.operators import frames
 from riskweave.session import cut
@@ -38,28 +37,8 @@ BAND = 32  # levels in a band
 PIECE = 1 << 16  # ids in a packed piece
 
 
-def running(key: list[str], order: list[str], made: dict[str, tuple[Column, str]]) -> frames.Op:
-    """Add running aggregates of the key up to and including the row: name -> (value, ``sum`` or ``bit_xor``)."""
-    merge = {"sum": (F.sum, lambda a, b: a + b), "bit_xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b))}
-    up_to = lambda *part: W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-
-    def plain(part: DataFrame) -> DataFrame:
-        return part.withColumns({n: merge[how][0](v).over(up_to(*key)) for n, (v, how) in made.items()})
-
-    def sliced(part: DataFrame) -> DataFrame:
-        group = [*key, "_slice"]
-        sums = part.groupBy(*group).agg(*[merge[how][0](v).alias(f"_c_{n}") for n, (v, how) in made.items()])
-        before = W.partitionBy(*key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-        carry = sums.select(*group, *[F.coalesce(merge[how][0](f"_c_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n, (_, how) in made.items()])
-        joined = part.join(frames.renamed(carry, group), frames.same(group))
-        here = {n: merge[how][1](merge[how][0](v).over(up_to(*group)), F.col(f"_c_{n}")) for n, (v, how) in made.items()}
-        return joined.withColumns(here).select(*part.columns, *here)
-
-    return frames.Op(plain, sliced)
-
-
 def turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, at, role, digest, words), ordered by ``at`` columns turn, role, digest."""
+    """(conv, turn, role, digest, words): one row per turn, in the order of turn, role and digest."""
     said = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return rows.where(F.col(conv_id).isNotNull()).select(
         F.col(conv_id).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"),
@@ -75,7 +54,7 @@ def rebuilt(rows: DataFrame, group: int = 20, shared: int = 4, limit: int | None
     the first ``h`` turns of ``c - c % group``, then follow its own after its first ``h``; h is crc32(c) modulo ``shared``.
     """
     order = ["turn", "role", "digest"]
-    numbered = cut(frames.apply(rows, ["conv"], order, [running(["conv"], order, {"at": (F.lit(1).cast("long"), "sum")})], limit, slice_rows))
+    numbered = cut(frames.apply(rows, ["conv"], order, [frames.running(["conv"], order, {"at": (F.lit(1).cast("long"), "sum")})], limit, slice_rows))
     h = F.crc32(F.col("conv").cast("string").cast("binary")) % shared
     counts = cut(numbered.groupBy("conv").agg(F.max("at").alias("n")).withColumns({"h": h, "root": F.col("conv") - F.col("conv") % group}))
     heads = counts.select(F.col("conv").alias("root"), F.least("n", F.lit(shared)).alias("has"))
@@ -91,7 +70,7 @@ def keyed(steps: DataFrame, limit: int | None = None, slice_rows: int = frames.S
     """(conv, depth, words, a, b): a and b are the key of the first ``depth`` turns."""
     mark = lambda seed: F.xxhash64(F.lit(seed), "depth", "role", "digest")
     lean = steps.select("conv", "depth", "words", mark(1).alias("x"), mark(2).alias("y"))
-    op = running(["conv"], ["depth"], {"a": (F.col("x"), "bit_xor"), "b": (F.col("y"), "bit_xor")})
+    op = frames.running(["conv"], ["depth"], {"a": (F.col("x"), "bit_xor"), "b": (F.col("y"), "bit_xor")})
     return frames.apply(lean, ["conv"], ["depth"], [op], limit, slice_rows).select("conv", "depth", "words", "a", "b")
 
 
@@ -232,7 +211,7 @@ def nodes(steps: DataFrame, conversations: DataFrame, limit: int | None = None,
         rows = merged.where((F.col("depth") > low) & (F.col("depth") <= low + band))
         rows = rows if above is None else rows.unionByName(above)
         rows = cut(rows.join(paths.where(F.col("band") == low // band).select("conv", "path"), "conv"))
-        high = min(low + band, deepest)
+        high, above = min(low + band, deepest), None
         if low:  # below the root alone nothing can be a chain
             rows = rows.withColumn("top", F.struct(F.col("path")[0]["a"], F.col("path")[0]["b"]))
             single = rows.groupBy("top").agg(F.count(F.lit(1)).alias("m")).where("m = 1").select("top")

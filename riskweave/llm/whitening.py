@@ -143,6 +143,8 @@ def refine(a: np.ndarray, x: np.ndarray, values: np.ndarray) -> tuple[np.ndarray
     """One Ogita-Aishima step: (vectors, eigenvalues, the distance below which eigenvalues are not told apart)."""
     r = np.eye(len(a), dtype=WIDE) - x.T @ x
     s = x.T @ a @ x
+    # rounding must leave both symmetric, or small gaps would turn its odd part into lost orthogonality
+    r, s = (r + r.T) / 2, (s + s.T) / 2
     values = np.diag(s) / (1 - np.diag(r))
     off = s - np.diag(values)
     near = 2 * (np.sqrt((off * off).sum()) + np.sqrt((a * a).sum()) * np.sqrt((r * r).sum()))

@@ -132,8 +132,7 @@ def token_bucket_cut(spark, sf):
     return out.select("event_id", "allowed", "tokens")
 
 
-@query(
-    "x7_breaker",
+BREAKER_SQL = (
     "WITH RECURSIVE "
     + ",\n".join(
         [
@@ -149,8 +148,11 @@ def token_bucket_cut(spark, sf):
     FROM f JOIN rows r ON r.key = f.key AND r.rn = f.rn + 1) s)""",
         ]
     )
-    + "\nSELECT event_id, state, tripped FROM f",
+    + "\nSELECT event_id, state, tripped FROM f"
 )
+
+
+@query("x7_breaker", BREAKER_SQL)
 def breaker(spark, sf):
     out = controls.breaker(stamped(spark, sf), ["lane"], ORDER, window=36_000, open_for=18_000)
     return out.select("event_id", "state", "tripped")

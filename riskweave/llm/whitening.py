@@ -23,6 +23,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ WIDE = np.longdouble
 def usable(column: pa.ListArray, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and entries (double) of the vectors that count."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), -1).to_numpy(zero_copy_only=False))
+    size = np.asarray(pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False))
     rows = np.flatnonzero(size == dimension)
     flat = column.take(pa.array(rows)).flatten()
     values = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dimension)

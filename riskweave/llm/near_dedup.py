@@ -4,12 +4,16 @@ Every document is hashed once per shingle.  The top bits of a hash choose one of
 smallest hash; an empty bin borrows from the non-empty bin that comes first in the bin's own fixed permutation.  Bins are
 read in bands of ``ROWS``; documents that agree on a band share a bucket.  A bucket never yields all its pairs:
 
-1. every member is compared with the bucket's smallest document only (a star), and confirmed links are contracted;
-2. members that are still outside the largest component of their bucket ("strays") are compared with all its members of
-   other components in blocks, on sketches of the 256 lowest hashes; only pairs within five standard deviations of the
-   similarity come out.
-
-So every two documents that share a bucket are compared or already connected.  With 42 bands of 6 bins a pair at
+1. every member is compared with one centre only (a star), and confirmed links are contracted.  The centre is the member whose
+   buckets are the largest in total: among edits of one text that is the text itself, or the edit nearest to it, and it is
+   the centre in nearly all their buckets;
+2. where many members are still outside the largest component of their bucket ("strays"), the most central stray becomes the
+   centre of a second star;
+3. the strays left are compared with all members of other components of their bucket in blocks, on sketches of the 2,048
+   lowest hashes: sets of up to that size exactly, larger ones within five standard deviations of the similarity.
+
+So every two documents that share a bucket are compared or already connected, and the pairs that come out are those of the
+stars, linear in the members, and likely links.  With 42 bands of 6 bins a pair at
 similarity 0.8 shares no bucket with probability 3e-6.  Candidates are confirmed on full shingle sets.  Documents with
 equal sets are one node throughout.
 
@@ -30,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.graph import components
-from riskweave.llm.packing import list_rows, lists, signed
+from riskweave.llm.packing import list_rows, lists, signed, spans
 from riskweave.llm.text import Hasher, U, buffers, mix, pieces, shingles, stream
 from riskweave.session import cut
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
-SKETCH, MEMBERS, STRAYS = 256, 1024, 256  # values of a sketch; members and strays in a unit
+SKETCH, MEMBERS, STRAYS = 2048, 2048, 512  # values of a sketch; members and strays in a unit
+CROWD = 64  # strays of a bucket from which on it gets a second star
 
 
 class Sketch:
@@ -129,6 +134,66 @@ def matches(x: np.ndarray, full: bool, sketches: np.ndarray, first: np.ndarray,
     return both >= (share - slack) * either - 1
 
 
+def laid(cells: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of the rows one after another, and where each begins."""
+    own = [cells[r].view(np.uint32) for r in rows]
+    return np.concatenate(own), np.cumsum([0, *map(len, own[:-1])])
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets in ``left`` with all in ``right``.
+
+    Values of many sets are counted by a matrix product, the others through lists of the sets that hold them, so the cost
+    is that of the values which sets really share.
+    """
+    sizes = np.array([len(x) for x in right])
+    values, at, held = np.unique(np.concatenate(right), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(right)), sizes)
+    column = np.where(held * 8 >= len(right), np.cumsum(held * 8 >= len(right)) - 1, -1)
+    wide = int(column.max()) + 1
+    table = np.zeros((len(right), wide), np.float32)
+    table[owner[column[at] >= 0], column[at][column[at] >= 0]] = 1
+    lists_of = owner[np.argsort(at, kind="stable")]
+    begin = np.cumsum(held) - held
+    dense = np.zeros((len(left), wide), np.float32)
+    out = np.zeros((len(left), len(right)), np.int64)
+    for i, x in enumerate(left):
+        where = np.minimum(np.searchsorted(values, x), len(values) - 1)
+        where = where[values[where] == x]
+        dense[i, column[where][column[where] >= 0]] = 1
+        rare = where[column[where] < 0]
+        if len(rare):
+            out[i] = np.bincount(lists_of[spans(begin[rare], held[rare])], minlength=len(right))
+    return out + (dense @ table.T).astype(np.int64)
+
+
+def placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, doc_id, n, w, comp): ``shared`` with the component of every member so far, itself where it has none."""
+    found = shared.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return found.select("key", "doc_id", "n", "w", F.coalesce("component", "doc_id").alias("comp"))
+
+
+def largest(now: DataFrame) -> DataFrame:
+    """(key, main, m, top): largest component, members and its size, of buckets with more than one component."""
+    sizes = now.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("m"), F.max("size").alias("top"), F.count("*").alias("many"))
+    return main.where("many > 1").drop("many")
+
+
+def star(members: DataFrame, centre: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of each bucket's members with its centre ``c``."""
+    pairs = members.join(centre, "key").where("doc_id <> c")
+    return pairs.select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
+
+
+def second_star(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidate pairs of the most central stray with the members of other components, in buckets of many strays."""
+    now = placed(shared, labels)
+    crowds = cut(now.join(largest(now).where(F.col("m") - F.col("top") >= CROWD), "key"))
+    centre = crowds.where("comp <> main").groupBy("key").agg(F.max_by(F.struct(F.col("doc_id").alias("c"), F.col("comp").alias("cc")), F.struct("w", -F.col("doc_id"))).alias("x"))
+    return star(crowds.join(centre.select("key", "x.cc"), "key").where("comp <> cc"), centre.select("key", "x.c"))
+
+
 def strays(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) across components: every member of a bucket that lies outside the bucket's largest component
     against all members of other components, by sketches of ``SKETCH`` values.
@@ -136,12 +201,8 @@ def strays(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     No pair is formed by a join: members and strays of a bucket go in blocks to units of bounded size, are compared there,
     and only likely pairs come out.  Small buckets share a unit.
     """
-    now = shared.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")
-    )
-    sizes = now.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("m"), F.max("size").alias("top"), F.count("*").alias("many"))
-    main = main.where("many > 1").withColumns({"nb": F.ceil(F.col("m") / MEMBERS), "ns": F.ceil((F.col("m") - F.col("top")) / STRAYS)})
+    now = placed(shared, labels)
+    main = largest(now).withColumns({"nb": F.ceil(F.col("m") / MEMBERS), "ns": F.ceil((F.col("m") - F.col("top")) / STRAYS)})
     split = cut(now.join(main, "key").withColumn("stray", F.col("comp") != F.col("main")))
     units = max(split.count() // (4 * MEMBERS), 1)
     sketch = F.transform(F.slice("s", 1, SKETCH), lambda x: F.shiftright(x, 32).cast("int"))
@@ -163,13 +224,20 @@ def strays(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
             others = rows[~centre[rows]]
             if not len(others):
                 continue
-            own = [cells[r].view(np.uint32) for r in others]
-            flat = np.concatenate(own)
-            first = np.cumsum([0, *map(len, own[:-1])])
-            for r in rows[centre[rows]].tolist():
-                ok = matches(cells[r].view(np.uint32), n[r] <= SKETCH, flat, first, n[others] <= SKETCH, percent) & (comp[others] != comp[r])
-                ok &= 100 * np.minimum(n[others], n[r]) >= percent * np.maximum(n[others], n[r])
-                out += [(min(doc[r], d), max(doc[r], d)) for d in doc[others[ok]].tolist()]
+            strays = rows[centre[rows]]
+            small, large = others[n[others] <= SKETCH], others[n[others] > SKETCH]
+            near = strays[n[strays] <= SKETCH]
+            if len(small) and len(near):
+                both = common([cells[r].view(np.uint32) for r in near], [cells[r].view(np.uint32) for r in small])
+                either = n[near][:, None] + n[small][None, :] - both
+                ok = (both >= percent / 100 * either - 1) & (comp[near][:, None] != comp[small][None, :])  # one step of rounding
+                out += [(min(x, y), max(x, y)) for x, y in zip(doc[near[np.nonzero(ok)[0]]].tolist(), doc[small[np.nonzero(ok)[1]]].tolist())]
+            for r in strays.tolist():  # sketches that are not whole sets
+                rest = large if n[r] <= SKETCH else others
+                rest = rest[(comp[rest] != comp[r]) & (100 * np.minimum(n[rest], n[r]) >= percent * np.maximum(n[rest], n[r]))]
+                if len(rest):
+                    ok = matches(cells[r].view(np.uint32), n[r] <= SKETCH, *laid(cells, rest), n[rest] <= SKETCH, percent)
+                    out += [(min(doc[r], d), max(doc[r], d)) for d in doc[rest[ok]].tolist()]
         out = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
         return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], schema=wire)
 
@@ -185,8 +253,11 @@ def linked(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFrame
     classes = cut(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")).withColumn("node", node))
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "leftsemi")
     members = reps.select(node.alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))  # from here on doc_id is the node
-    stars = members.groupBy("key").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("top")).where("c < top").select("key", "c")
-    shared = cut(members.join(stars, "key").distinct())  # (key, doc_id, n, c): members of buckets with two documents or more
+    buckets = members.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.count("*").alias("m")).where("low < top")
+    shared = members.join(buckets.select("key", "m"), "key").distinct()  # members of buckets with two documents or more
+    shared = cut(shared)
+    shared = cut(shared.join(shared.groupBy("doc_id").agg(F.sum("m").alias("w")), "doc_id").select("key", "doc_id", "n", "w"))
+    centre = shared.groupBy("key").agg(F.max_by("doc_id", F.struct("w", -F.col("doc_id"))).alias("c"))
 
     wanted = shared.select("doc_id").distinct()
     named = classes.join(wanted, classes["node"] == wanted["doc_id"], "leftsemi").select(F.col("rep").alias("doc_id"))
@@ -194,7 +265,10 @@ def linked(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFrame
     sets = shingle_sets(texts, k).select(node.alias("doc_id"), "s").join(wanted, "doc_id", "leftsemi")
     sets = cut(sets.dropDuplicates(["doc_id"]))
 
-    links = cut(confirmed(shared.where("doc_id > c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct(), sets, percent))
+    links = cut(confirmed(star(shared, centre), sets, percent))
+    again = cut(second_star(shared, components(links)))
+    if not again.isEmpty():
+        links = cut(links.union(confirmed(again, sets, percent)))
     more = cut(confirmed(strays(shared, components(links), sets, percent), sets, percent))
     labels = components(links.union(more))
     found = cut(classes.join(labels, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component")))

@@ -199,11 +199,19 @@ def trailing(key: list[str], ts: str, frames: dict[str, tuple[str, str | None, i
         one_by_one = lambda part: reduce(lambda out, op: op.plain(out), each, part).select(*part.columns, *frames)
         return Op(one_by_one, one_by_one)
 
+    # The parts each length adds up: a frame's aggregate asks for its own, and nothing else is carried.
+    asked: dict[int, list[str]] = {s: [] for s in lengths}
+    for how, value, s in frames.values():
+        i = values.index(value) if value else 0
+        names = {"count": ["_rows"], "max": [f"_m{i}"]}.get(how, [f"_s{i}", f"_k{i}"])
+        asked[s] += [c for c in names if c not in asked[s]]
+    parts = sorted({c for names in asked.values() for c in names})
+
     def run(part: DataFrame) -> DataFrame:
-        made = {"_rows": F.count(F.lit(1))}
+        every = {"_rows": F.count(F.lit(1))}
         for i, value in enumerate(values):
-            made |= {f"_s{i}": F.sum(value), f"_k{i}": F.count(value), f"_m{i}": F.max(value)}
-        parts = list(made)
+            every |= {f"_s{i}": F.sum(value), f"_k{i}": F.count(value), f"_m{i}": F.max(value)}
+        made = {c: every[c] for c in parts}
         combine = {c: (F.max if c.startswith("_m") else F.sum) for c in parts}
         seconds = part.groupBy(*key, F.col(ts).alias("_at")).agg(*[c.alias(n) for n, c in made.items()])
         own = seconds.withColumns({"_pane": F.floor(F.col("_at") / pane), "_len": F.lit(0)})
@@ -215,7 +223,7 @@ def trailing(key: list[str], ts: str, frames: dict[str, tuple[str, str | None, i
             for name, panes in (("_in", s // pane - 1), ("_on", s // pane)):  # _on: where the frame reaches one pane further
                 inner = W.partitionBy(*key).orderBy("_pane").rangeBetween(-panes, -1)
                 if name == "_in" or s % pane:
-                    whole = whole.withColumns({f"{name}{s}{c}": combine[c](c).over(inner) if panes else F.lit(None) for c in parts})
+                    whole = whole.withColumns({f"{name}{s}{c}": combine[c](c).over(inner) if panes else F.lit(None) for c in asked[s]})
         whole = renamed(whole.drop(*parts), [*key, "_pane"])
 
         prefix = W.partitionBy(*key, "_pane").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
@@ -224,7 +232,7 @@ def trailing(key: list[str], ts: str, frames: dict[str, tuple[str, str | None, i
         suffix = {s: W.partitionBy(*key, oldest[s]).orderBy(F.col("_at").desc()).rangeBetween(W.unboundedPreceding, 0) for s in lengths}
         ends = {f"_p{c}": combine[c](F.when(F.col("_len") == 0, F.col(c))).over(prefix) for c in parts}
         for s in lengths:
-            ends |= {f"_x{s}{c}": combine[c](F.when(F.col("_len") == s, F.col(c))).over(suffix[s]) for c in parts}
+            ends |= {f"_x{s}{c}": combine[c](F.when(F.col("_len") == s, F.col(c))).over(suffix[s]) for c in asked[s]}
         done = own.unionByName(halo).withColumns(ends).where(F.col("_len") == 0)
         done = done.join(whole, same([*key, "_pane"]), "left")
 

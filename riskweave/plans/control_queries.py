@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -253,6 +255,16 @@ def reconstruct(spark, sf):
     return out.select("vec_id", F.size("recon").alias("width"), (error <= norm(F.col("embedding")) + 1e-6).alias("closer_than_origin"))
 
 
+@query("t4_autoencoder")
+def autoencoder(spark, sf):
+    """The network of the reference's shape, trained on all vectors; how far each reconstruction is off."""
+    from riskweave.functions.numbers import squared_error
+
+    e = table(spark, sf, "embeddings")
+    out = ml.fit_autoencoder(e, "embedding").reconstruct(e, "embedding")
+    return out.select("vec_id", F.size("recon").alias("width"), F.round(squared_error(F.col("embedding"), F.col("recon")), 4).alias("error"))
+
+
 @query(
     "t5_score_dense",
     """SELECT vec_id, round(least(1.0::DOUBLE, 10 * list_sum(list_transform(embedding, lambda x: CASE WHEN x < 0 THEN x::DOUBLE * x::DOUBLE ELSE 0.0::DOUBLE END)) / 64), 4)
@@ -288,6 +300,34 @@ def score_lstm(spark, sf):
     return out.select("event_id", F.round("lstm", 6).alias("lstm"))
 
 
+def reloaded(model):
+    """The model after a round trip through the shared folder."""
+    from pyspark.sql import SparkSession
+
+    from riskweave.session import shared_dir
+
+    path = f"{shared_dir(SparkSession.active())}/riskweave-models/{uuid.uuid4().hex}"
+    model.write().save(path)
+    return type(model).read().load(path)
+
+
+@query("t1_reloaded_logistic", with_sql(TX, body="SELECT event_id, CAST(amount + k > 120 AS INT) AS y, true AS same FROM tx"))
+def reloaded_logistic(spark, sf):
+    """A saved and reloaded model gives every row the same probability."""
+    s = scored(spark, sf)
+    model = ml.LogisticTrainer(NUMERIC, "channel", "y").fit(s)
+    both = reloaded(model).transform(model.transform(s).withColumnRenamed("probability", "first"))
+    return both.select("event_id", "y", F.col("first").eqNullSafe(F.col("probability")).alias("same"))
+
+
+@query("t3_reloaded_isolation_forest", with_sql(TX, body="SELECT event_id, true AS same FROM tx"))
+def reloaded_forest(spark, sf):
+    s = scored(spark, sf)
+    forest = ml.fit_iforest(s.where("y = 0"), NUMERIC, "event_id")
+    both = reloaded(forest).score(forest.score(s, "first"))
+    return both.select("event_id", F.col("first").eqNullSafe(F.col("anomaly_raw")).alias("same"))
+
+
 @query("t6_train_report")
 def train_report(spark, sf):
     s = scored(spark, sf)

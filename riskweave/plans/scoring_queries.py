@@ -337,14 +337,14 @@ def check_token(spark, sf):
     return made.select("transaction_id", privacy.token_reason(F.col("token"), now, TOKEN_KEY, "risk", "api").alias("reason"))
 
 
-LINES = "list_filter(string_split(text, chr(10)), lambda s: length(s) > 0)"
+LINES = "list_filter(string_split(text, chr(10))[2:], lambda s: length(s) > 0)"
 DENY, ALLOW = "(agpl|gnu affero|gpl)", "lgpl"
 COPYLEFT = "(\\bagpl\\b|\\bgnu\\s+affero\\b|\\bgpl\\b|general public license)"
 
 
 @query(
     "f22_policy_flag",
-    f"""WITH d AS (SELECT doc_id, source AS name, text AS license, CASE WHEN doc_id % 2 = 0 THEN {LINES} ELSE CAST([] AS VARCHAR[]) END AS lines FROM documents),
+    f"""WITH d AS (SELECT doc_id, source AS name, coalesce(string_split(text, chr(10))[1], '') AS license, coalesce({LINES}, CAST([] AS VARCHAR[])) AS lines FROM documents),
 v AS (SELECT *, list_filter(list_transform(lines, lambda s: CASE WHEN regexp_matches(s, '{DENY}', 'i') THEN 1 WHEN regexp_matches(s, '{ALLOW}', 'i') THEN 0 END),
     lambda x: x IS NOT NULL)[1] AS first_line FROM d)
 SELECT doc_id, CASE WHEN regexp_matches(name, '^wiki', 'i') THEN false WHEN first_line IS NOT NULL THEN first_line = 1
@@ -355,13 +355,15 @@ SELECT doc_id, CASE WHEN regexp_matches(name, '^wiki', 'i') THEN false WHEN firs
   ELSE length(license) = 0 END AS blocked FROM v""",
 )
 def policy_flag(spark, sf):
+    """The first line is the license text, the others are classifiers."""
     d = table(spark, sf, "documents")
-    lines = F.filter(F.split("text", "\n"), lambda s: F.length(s) > 0)
+    parts = F.split("text", "\n")
+    lines = F.filter(F.slice(parts, 2, F.size(parts)), lambda s: F.length(s) > 0)
     rows = d.select(
         "doc_id",
         F.col("source").alias("name"),
-        F.col("text").alias("license"),
-        F.when(F.col("doc_id") % 2 == 0, lines).otherwise(F.array().cast("array<string>")).alias("classifiers"),
+        F.get(parts, F.lit(0)).alias("license"),
+        F.coalesce(lines, F.array().cast("array<string>")).alias("classifiers"),
     )
     return policy.policy_flag(rows, policy.Policy(ignore_packages=["^wiki"], block_unknown=True)).select("doc_id", "blocked")
 

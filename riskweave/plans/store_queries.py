@@ -83,14 +83,17 @@ def dead_letters(spark, sf):
     "s9_insert_unique",
     with_sql(
         TX,
-        body="""SELECT key, min(event_id) AS event_id FROM (SELECT concat('t', CAST(event_id % 4000 AS VARCHAR)) AS key, event_id FROM tx) n
-  WHERE key NOT IN (SELECT concat('t', CAST(user_id AS VARCHAR)) FROM tx) GROUP BY key""",
+        body="""SELECT key, min(event_id) AS event_id FROM (SELECT transaction_id AS key, event_id FROM tx
+    UNION ALL SELECT transaction_id, event_id + 1000000000000 FROM tx) n
+  WHERE key NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer) GROUP BY key""",
     ),
 )
 def insert_unique(spark, sf):
+    """Every transaction arrives twice; ids that are customer keys count as stored."""
     t = tx(spark, sf)
-    new = t.select(F.concat(F.lit("t"), (F.col("event_id") % 4000).cast("string")).alias("key"), "event_id")
-    old = t.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("key")).distinct()
+    new = t.select(F.col("transaction_id").alias("key"), "event_id")
+    new = new.unionByName(new.withColumn("event_id", F.col("event_id") + 1_000_000_000_000))
+    old = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("key"))
     return store.insert_unique(new, old, "key", ["event_id"])
 
 
@@ -114,12 +117,12 @@ def recent_by(spark, sf):
 
 
 PUTS = """puts AS (SELECT account_id AS key, k AS value, event_id AS seq, ts_long AS put_ts, ts_long + CASE WHEN k % 2 = 0 THEN 3600 ELSE 600 END AS expires_at
-  FROM tx WHERE event_id % 2 = 0),
-probes AS (SELECT account_id AS key, event_id, ts_long AS probe_ts FROM tx WHERE event_id % 2 = 1)"""
+  FROM tx),
+probes AS (SELECT account_id AS key, event_id, ts_long + k * 40 AS probe_ts FROM tx)"""
 
 
 def puts(spark, sf):
-    t = tx(spark, sf).where("event_id % 2 = 0")
+    t = tx(spark, sf)
     made = t.select(F.col("account_id").alias("key"), F.col("k").alias("value"), F.col("event_id").alias("seq"), F.col("ts_long").alias("put_ts"))
     ttl = F.when(F.col("value") % 2 == 0, store.FEATURE_TTL).otherwise(store.RISK_TTL)
     return store.with_expiry(made, ttl)
@@ -151,7 +154,8 @@ KV_SQL = with_sql(
 
 
 def lookups(spark, sf, **cut):
-    probes = tx(spark, sf).where("event_id % 2 = 1").select(F.col("account_id").alias("key"), "event_id", F.col("ts_long").alias("probe_ts"))
+    probe = (F.col("ts_long") + F.col("k") * 40).alias("probe_ts")  # up to an hour after the account's own write
+    probes = tx(spark, sf).select(F.col("account_id").alias("key"), "event_id", probe)
     return store.kv_lookup(probes, puts(spark, sf), **cut).select("event_id", "value")
 
 
@@ -244,7 +248,7 @@ def audit_hashes(spark, sf):
     with_sql(
         TX, REQUESTS,
         body="""SELECT correlation_id, left_lines, first_ts, right_lines, last_ts FROM
-  (SELECT correlation_id, count(*) AS left_lines, min(ts_long) AS first_ts FROM requests WHERE service = 'a' AND k > 40 GROUP BY 1) a JOIN
+  (SELECT correlation_id, count(*) AS left_lines, min(ts_long) AS first_ts FROM requests WHERE service = 'a' GROUP BY 1) a JOIN
   (SELECT (correlation_id + k % 2) AS correlation_id, count(*) AS right_lines, max(ts_long) AS last_ts FROM requests WHERE service = 'b' GROUP BY 1) b
   USING (correlation_id)""",
     ),
@@ -252,7 +256,7 @@ def audit_hashes(spark, sf):
 def correlate(spark, sf):
     r = requests(spark, sf)
     right = r.where("service = 'b'").withColumn("correlation_id", F.col("correlation_id") + F.col("k") % 2)
-    return logs.correlate(r.where("service = 'a' AND k > 40"), right)
+    return logs.correlate(r.where("service = 'a'"), right)
 
 
 # Top-k and sampling.
@@ -304,18 +308,19 @@ def missing_series(spark, sf):
     "u2_series_or",
     with_sql(
         TX,
-        body="""SELECT account_id, 'left' AS side, sum(k) AS value FROM tx WHERE channel = 'error' AND k < 20 GROUP BY account_id
-  UNION ALL SELECT account_id, 'right', sum(k) FROM tx WHERE channel = 'view' AND k < 60 AND account_id NOT IN
-  (SELECT account_id FROM tx WHERE channel = 'error' AND k < 20) GROUP BY account_id""",
+        body="""SELECT account_id, 'left' AS side, sum(k) AS value FROM tx WHERE channel = 'error' GROUP BY account_id, device_id
+  UNION ALL SELECT account_id, 'right', sum(k) FROM tx WHERE channel = 'view' AND concat(account_id, device_id) NOT IN
+  (SELECT concat(account_id, device_id) FROM tx WHERE channel = 'error') GROUP BY account_id, device_id""",
     ).replace("sum(k)", "CAST(sum(k) AS BIGINT)"),
 )
 def series_or(spark, sf):
     t = tx(spark, sf)
 
     def side(name, cond):
-        return t.where(cond).groupBy("account_id").agg(F.lit(name).alias("side"), F.sum("k").alias("value"))
+        return t.where(cond).groupBy("account_id", "device_id").agg(F.lit(name).alias("side"), F.sum("k").alias("value"))
 
-    return metrics.series_or(side("left", "channel = 'error' AND k < 20"), side("right", "channel = 'view' AND k < 60"), ["account_id"])
+    both = metrics.series_or(side("left", "channel = 'error'"), side("right", "channel = 'view'"), ["account_id", "device_id"])
+    return both.select("account_id", "side", "value")
 
 
 @query(

@@ -46,6 +46,66 @@ def test_isolation_forest_finds_planted_outlier(spark, rows):
     assert again.offset == pytest.approx(forest.offset)
 
 
+def test_saved_models_score_as_before(spark, rows, tmp_path):
+    for name, trainer in (("logistic", ml.LogisticTrainer(["a", "b", "c"], "kind", "label", 50)), ("forest", ml.ForestTrainer(["a", "b", "c"], "label", 8, 4))):
+        model = trainer.fit(rows)
+        model.write().save(str(tmp_path / name))
+        again = ml.Tabular.load(str(tmp_path / name))
+        scores = [[r["probability"] for r in m.transform(rows).orderBy("id").collect()] for m in (model, again)]
+        assert scores[0] == scores[1] and again.numeric == ["a", "b", "c"]
+    forest = ml.fit_iforest(rows, ["a", "b"], "id", trees=12)
+    forest.write().save(str(tmp_path / "iforest"))
+    again = ml.IsolationForest.load(str(tmp_path / "iforest"))
+    assert [r["anomaly_raw"] for r in forest.score(rows).orderBy("id").collect()] == [r["anomaly_raw"] for r in again.score(rows).orderBy("id").collect()]
+    with pytest.raises(Exception):
+        forest.write().save(str(tmp_path / "iforest"))
+    forest.write().overwrite().save(str(tmp_path / "iforest"))
+
+
+def test_tree_samples_are_the_lowest_hashes_of_each_tree(spark):
+    df = spark.range(6000).withColumn("v", F.col("id").cast("double"))
+    x = F.array("v")
+    got = ml.tree_samples(df, x, "id", 7, 3, size=40).groupBy("tree").agg(F.sort_array(F.collect_list(F.col("x")[0])).alias("v")).collect()
+    drawn = df.select("v", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("tree")).withColumn("h", F.xxhash64(F.col("v").cast("long"), F.lit(3), "tree")).toPandas()
+    want = {t: sorted(part.nsmallest(40, "h")["v"]) for t, part in drawn.groupby("tree")}
+    assert {r["tree"]: r["v"] for r in got} == want
+    few = ml.tree_samples(df.where("id < 30"), x, "id", 3, 3, size=40)
+    assert few.groupBy("tree").count().select("count").distinct().collect()[0][0] == 30
+    assert ml.tree_samples(df.where("id < 0"), x, "id", 3, 3, size=40).count() == 0
+
+
+def test_autoencoder_equals_numpy_and_beats_principal_components(spark):
+    rng = np.random.default_rng(8)
+    t = rng.uniform(-1, 1, (300, 2))
+    data = np.c_[t, np.abs(t[:, 0]) * 2, np.maximum(t[:, 1], 0) * 2, np.abs(t[:, 0] + t[:, 1]), np.abs(t[:, 0] - t[:, 1])]
+    odd = [(-1, None), (-2, [1.0]), (-3, [float("nan")] * 6)]
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(data)] + odd, "id long, v array<double>").repartition(3)
+    model = ml.fit_autoencoder(df, "v", [16, 2, 16], steps=40, rate=0.02)
+    mean, std = data.mean(axis=0), data.std(axis=0)
+    x, layers = (data - mean) / std, ml.initial_layers(6, [16, 2, 16], 42)
+    moments = [(np.zeros_like(v), np.zeros_like(v)) for pair in layers for v in pair]
+    losses = []
+    for step in range(1, 41):
+        sums = ml.gradient(layers, x)
+        losses.append(sums[0][0] / 300)
+        layers = ml.adam(layers, sums[1:], 300, moments, step, 0.02, 1e-4)
+    for (w, b), (w2, b2) in zip(model.layers, layers):
+        assert np.allclose(w, w2, atol=1e-8) and np.allclose(b, b2, atol=1e-8)
+    # the gradient itself, by differences
+    base, at = ml.gradient(ml.initial_layers(6, [16, 2, 16], 1), x), (2, 3)
+    moved = ml.initial_layers(6, [16, 2, 16], 1)
+    moved[0][0][at] += 1e-6
+    assert (ml.gradient(moved, x)[0][0] - base[0][0]) / 1e-6 == pytest.approx(base[-2][at], rel=1e-3)
+    # trained on in numpy, it ends below two principal components
+    for step in range(41, 1500):
+        layers = ml.adam(layers, ml.gradient(layers, x)[1:], 300, moments, step, 0.02, 1e-4)
+    error = ((ml._activations(layers, x)[-1] - x) ** 2).sum()
+    _, _, basis = np.linalg.svd(x, full_matrices=False)
+    assert losses[-1] < losses[0] / 2 and error < ((x - x @ basis[:2].T @ basis[:2]) ** 2).sum()
+    back = {r["id"]: r["recon"] for r in model.reconstruct(df.where("id <> -2"), "v").collect()}
+    assert back[-1] is None and np.allclose(back[0], ml._activations(model.layers, x[:1])[-1][0] * std + mean)
+
+
 def test_reconstruction_with_all_components_is_exact(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([3.0, -1.0],), ([0.5, 0.5],), (None,)], "v array<double>")
     model = ml.fit_recon(df.where("v IS NOT NULL"), "v", 2)

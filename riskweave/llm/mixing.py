@@ -73,9 +73,12 @@ def budgets(leaves: DataFrame, weights: DataFrame, total: Column | float, epochs
 
 def mix(docs: DataFrame, weights: DataFrame, fraction: float, domain: Column, seed: str = "mix", epochs: int = 1, default: float = 1.0) -> DataFrame:
     """Rows of ``docs`` taken for a budget of ``fraction`` of all tokens, with ``mix_epoch`` (from 0), ``mix_tokens`` and
-    ``mix_domain``.  A document taken in two epochs comes twice."""
+    ``mix_domain``.  A document taken in two epochs comes twice.  Columns of these three names are replaced."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    known = {"domain": name(domain), "lang": name(F.col("lang")), "source": name(F.col("source"))}
+    kept = [c for c in docs.columns if c not in ("mix_epoch", "mix_tokens", "mix_domain")]
+    # the row travels as one column, so that its columns may have any names
+    docs = docs.select("doc_id", "text", "lang", "source", name(domain).alias("dom"), F.struct(*[F.col(c) for c in kept]).alias("row"))
+    known = {"domain": F.col("dom"), "lang": name(F.col("lang")), "source": name(F.col("source"))}
     keyed = cut(docs.select("doc_id", *[c.alias(k) for k, c in known.items()], n_words("text").alias("tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("body")))
     rows = keyed.count()
     digits = 0
@@ -95,5 +98,5 @@ def mix(docs: DataFrame, weights: DataFrame, fraction: float, domain: Column, se
     taken = upto.where("budget > 0").where(F.col("mix_epoch") * F.col("pass_tokens") + F.col("start") + F.col("upto") <= F.col("budget"))
     taken = taken.select(F.col("doc_id").alias("take_id"), F.col("body").alias("take_body"), "mix_epoch", F.col("domain").alias("mix_domain"), F.col("lang").alias("take_lang"), F.col("source").alias("take_source"))
     match = docs["doc_id"].eqNullSafe(taken["take_id"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == taken["take_body"])
-    match &= (name(docs["lang"]) == taken["take_lang"]) & (name(docs["source"]) == taken["take_source"]) & (name(domain) == taken["mix_domain"])
-    return docs.join(taken, match).select(*[docs[c] for c in docs.columns], "mix_epoch", "mix_domain", n_words("text").alias("mix_tokens"))
+    match &= (name(docs["lang"]) == taken["take_lang"]) & (name(docs["source"]) == taken["take_source"]) & (docs["dom"] == taken["mix_domain"])
+    return docs.join(taken, match).select("row.*", "mix_epoch", "mix_domain", n_words("text").alias("mix_tokens"))

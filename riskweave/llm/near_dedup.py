@@ -300,6 +300,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # texts without shingles are alike under one doc_id only
     best = rows.where("doc_id is not null").groupBy("component", F.when(F.col("component").isNull(), F.col("doc_id")).alias("alone")).agg(F.min(F.struct("doc_id", "mark")).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.mark").alias("kept_mark"))
-    named = docs.where("doc_id is not null").withColumn("_mark", mark)
-    first = named.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("_mark") == F.col("kept_mark")), "leftsemi")
-    return first.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    # the row travels as one column, so that its columns may have any names
+    named = docs.where("doc_id is not null").select("doc_id", mark.alias("mark"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    first = named.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "leftsemi")
+    return first.dropDuplicates(["doc_id", "mark"]).select("row.*").unionByName(docs.where("doc_id is null"))

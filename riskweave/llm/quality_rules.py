@@ -154,7 +154,6 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
 
 def apply(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, each by its own text and stratum, whatever its doc_id (null, repeated)."""
-    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))), F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    verdict = judge(docs, labels, stratum, alpha, delta, (own.alias("_row"),))
-    good = verdict.where("kept").select(F.col("_row").alias("_good"))
-    return docs.withColumn("_row", own).join(good, F.col("_row") == F.col("_good"), "leftsemi").select(*docs.columns)
+    # The row travels as one column beside the text, so that its columns may have any names and no text is joined back.
+    rows = docs.select("doc_id", "text", stratum, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return judge(rows, labels, stratum, alpha, delta, (F.col("row"),)).where("kept").select("row.*")

@@ -1,12 +1,15 @@
 """The pipeline's stages against brute force, each on its own input."""
 
 import hashlib
+import random
 from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
 
+from pyspark.sql import functions as F
+
 from riskweave.llm import bpe
 from riskweave.session import cut
 from test_operators import WORD, groups
@@ -54,3 +57,34 @@ def test_stages(spark):
     assert set(rows[5]) == set(rows[4])
     for i, r in rows[5].items():
         assert r.ids == encoder.encode_ordinary(rows[4][i].text) and r.decoded_sha256 == hashlib.sha256(rows[4][i].text.encode()).hexdigest()
+
+
+# Names that the operators use themselves, and columns they return.
+CLASHES = [
+    "_row", "_good", "_mark", "_key", "_cut", "_at", "_after", "_times", "_least", "_most", "row", "mark", "kept", "kept_id", "kept_mark", "component",
+    "component_id", "set_key", "keys", "stratum", "reasons", "n_words", "base_failed", "mix_epoch", "mix_tokens", "mix_domain", "dom", "domain", "take_id", "body", "bucket", "chunk",
+]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from riskweave.llm import mixing, near_dedup, quality_rules, substring
+    from riskweave.llm.queries import domain, weights
+
+    rng = random.Random(4)
+    line = lambda i: " ".join(f"{rng.choice('abcdef')}{rng.randrange(900)}" for _ in range(70 + i % 5))
+    texts = [line(i) for i in range(12)]
+    texts += [texts[0], texts[1] + " tail " + " ".join(texts[2].split()[10:45])]
+    rows = [(i, t, "en", f"src{i % 3}", len(t), f"own{i}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, own string")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}:"), "own") for c in CLASHES})
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    for name, out in (
+        ("rules", quality_rules.apply(docs, labels)), ("near", near_dedup.near_dedup(docs)), ("cut", substring.remove_repeats(docs)),
+        ("mix", mixing.mix(docs, weights(spark), 1.0, domain()).select(*docs.columns)),
+    ):
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert len(found) >= 12, name
+        for r in found:
+            for c in CLASHES:
+                assert r[c] == f"{c}:{r['own']}" or (name == "mix" and c.startswith("mix_")), (name, c)

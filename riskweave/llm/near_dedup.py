@@ -41,6 +41,7 @@ from riskweave.session import cut
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
 SKETCH, MEMBERS, STRAYS = 2048, 2048, 512  # values of a sketch; members and strays in a unit
+MOST_BITS = 1 << 29
 CROWD = 64  # strays of a bucket from which on it gets a second star
 
 
@@ -89,18 +90,52 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(set_key, s): sorted distinct shingle hashes per row."""
+def marked(ids: np.ndarray, bits: int) -> np.ndarray:
+    """(2 x n) places of the ids in a bit set."""
+    mixed = mix(ids.view(U))
+    return np.stack([mixed, mixed >> U(32)]) & U(bits - 1)
+
+
+def bit_set(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the column ``doc_id``: bytes, and their number of bits.
+
+    Sixteen bits an id, ``MOST_BITS`` at most: what is collected and sent out stays below 64 MB whatever the number of ids; a
+    fuller filter only lets more pass.
+    """
+    bits = min(max(1 << (16 * ids.count()).bit_length(), 64), MOST_BITS)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = marked(batch.column(0).to_numpy(), bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).astype(np.int64)), pa.array(signed(U(1) << (at & U(63))))], names=["word", "mask"])
+
+    words = ids.mapInArrow(place, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, U)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy().view(U)
+    return out, bits
+
+
+def shingle_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """(set_key, s): sorted distinct shingle hashes of the rows whose doc_id is in ``wanted``, and of few others: rows are told
+    apart by a bit set where they lie, as most documents are not wanted and no text has to travel."""
     wire = pa.schema([("set_key", pa.binary()), ("s", pa.list_(pa.int64()))])
+    words, bits = bit_set(wanted)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(lower=True)
+        hasher, held = Hasher(lower=True), shared.value
         for batch in pieces(batches, 1):
+            at = marked(batch.column(0).to_numpy(), bits)
+            hit = ((held[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1)).all(axis=0)
+            batch = batch.filter(pa.array(hit))
+            if not batch.num_rows:
+                continue
             data, offsets = buffers(batch.column(1))
             found = shingles(hasher.words(data, offsets), k)
             yield from list_rows(wire, [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signed(s)) for s in found]).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "set_key binary, s array<bigint>")
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return known.mapInArrow(run, "set_key binary, s array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,23 +289,24 @@ def linked(docs: DataFrame, table: DataFrame, k: int, percent: int) -> DataFrame
     reps = named.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "leftsemi")
     members = reps.select(node.alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))  # from here on doc_id is the node
     buckets = members.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.count("*").alias("m")).where("low < top")
-    shared = members.join(buckets.select("key", "m"), "key").distinct()  # members of buckets with two documents or more
-    shared = cut(shared)
+    shared = cut(members.join(buckets.select("key", "m"), "key").distinct())  # members of buckets with two documents or more
     shared = cut(shared.join(shared.groupBy("doc_id").agg(F.sum("m").alias("w")), "doc_id").select("key", "doc_id", "n", "w"))
     centre = shared.groupBy("key").agg(F.max_by("doc_id", F.struct("w", -F.col("doc_id"))).alias("c"))
 
     wanted = shared.select("doc_id").distinct()
     named = classes.join(wanted, classes["node"] == wanted["doc_id"], "leftsemi").select(F.col("rep").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id", "leftsemi")
-    sets = shingle_sets(texts, k).select(node.alias("doc_id"), "s").join(wanted, "doc_id", "leftsemi")
+    sets = shingle_sets(docs, k, named).select(node.alias("doc_id"), "s").join(wanted, "doc_id", "leftsemi")
     sets = cut(sets.dropDuplicates(["doc_id"]))
 
     links = cut(confirmed(star(shared, centre), sets, percent))
-    again = cut(second_star(shared, components(links)))
+    labels = components(links)
+    again = cut(second_star(shared, labels))
     if not again.isEmpty():
         links = cut(links.union(confirmed(again, sets, percent)))
-    more = cut(confirmed(strays(shared, components(links), sets, percent), sets, percent))
-    labels = components(links.union(more))
+        labels = components(links)
+    more = cut(confirmed(strays(shared, labels, sets, percent), sets, percent))
+    if not more.isEmpty():
+        labels = components(links.union(more))
     found = cut(classes.join(labels, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component")))
     return found.join(found.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("set_key", "component_id", "component")
 

@@ -113,13 +113,14 @@ def successors(docs: DataFrame) -> DataFrame:
     return both.repartition(width, "slice").sortWithinPartitions("slice", "ahead", "doc_id", "text")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, digests: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles, set_key per row of
-    ``docs``.
+    ``docs``; with ``digests`` the edited text's SHA-256, edited_sha256, in place of the text, which then leaves no task.
 
     The edited text: the last floor(n_chars / 2) code points replaced by the first as many of the next document.
     """
-    names = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "set_key"]
+    edit = "edited_sha256" if digests else "edited_text"
+    names = ["doc_id", "n_chars", edit, "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "set_key"]
     wire = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.binary()])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +140,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             size = [len(texts[i]) for i in rows]
             edited = [texts[i][: n - n // 2] + texts[i + 1][: n // 2] for i, n in zip(rows.tolist(), size)]
             esig, efull = minhash.signatures(pa.array(edited, pa.string()))
+            shown = [hashlib.sha256(t.encode()).hexdigest() for t in edited] if digests else edited
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([one[i] for i in rows], pa.int64()), pa.array(size, pa.int64()), pa.array(edited, pa.string()),
+                    pa.array([one[i] for i in rows], pa.int64()), pa.array(size, pa.int64()), pa.array(shown, pa.string()),
                     pa.array(hexes(sig[rows], full[rows])), pa.array(hexes(esig, efull)),
                     pa.array(likeness(sig[rows], full[rows], esig, efull)), pa.array(likeness(sig[rows], full[rows], sig[rows + 1], full[rows + 1])),
                     pa.array([sets[i][0] for i in rows], pa.int64()), pa.array([sets[i][1] for i in rows], pa.binary()),
@@ -149,7 +151,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 schema=wire,
             )
 
-    schema = "doc_id bigint, n_chars bigint, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles bigint, set_key binary"
+    schema = f"doc_id bigint, n_chars bigint, {edit} string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles bigint, set_key binary"
     return successors(docs).mapInArrow(run, schema)
 
 
@@ -182,5 +184,4 @@ def similar(docs: DataFrame, percent: int = 80) -> DataFrame:
 def fingerprints_and_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The columns of ``fingerprints`` (the digest edited_sha256 for edited_text, no set_key), and component_id and kept as in ``similar``, per row of ``docs``."""
     found = cut(linked(docs, cut(banded(docs)), SHINGLE, percent))
-    prints = fingerprints(docs).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
-    return grouped(prints, found)
+    return grouped(fingerprints(docs, digests=True), found)

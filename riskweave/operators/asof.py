@@ -16,7 +16,7 @@ def join_stats(tx: DataFrame, stats: DataFrame, size: int = 60, slide: int = 10)
     rows of an account with all its windows.
     """
     first = F.floor(F.col("ts_long") / slide) * slide + slide
-    ends = F.explode(F.sequence(first, first + (size - slide), F.lit(slide))).alias("window_end")
+    ends = F.explode_outer(F.sequence(first, first + (size - slide), F.lit(slide))).alias("window_end")
     return tx.select("*", ends).join(stats, ["account_id", "window_end"], "left")
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskweave.functions import numbers, privacy, times
-from riskweave.operators import asof, features, validate
+from riskweave.operators import asof, features, jobs, validate
 from riskweave.plans.registry import query
 from riskweave.plans.views import TX, cut_all, tx, with_sql
-from riskweave.schema import MODEL_FEATURES
+from riskweave.schema import MODEL_FEATURES, VECTOR_FIELDS
 from riskweave.sources.tables import table
 
 ROWS = "PARTITION BY account_id ORDER BY ts, transaction_id"
@@ -146,6 +146,39 @@ def join_stats(spark, sf):
     return rounded_stats(asof.join_stats(t, features.window_stats(t)), "transaction_id", "window_end")
 
 
+JOB_SQL = with_sql(
+    TX, STATS,
+    f"""made AS (SELECT transaction_id, account_id, ts_long, amount, round(amount / (sum(amount) OVER {span(300)} + 0.001::DOUBLE), 6) AS amount_ratio, {CHANGED} AS new_device,
+  round({Z}, 6) AS amount_z, CASE WHEN hour(ts) < 6 OR hour(ts) > 22 THEN 1 ELSE 0 END AS is_night, k / 100.0::DOUBLE AS velocity, CASE WHEN k % 9 <> 0 THEN k / 200.0::DOUBLE END AS behavior_score FROM tx)""",
+    body=f"""SELECT transaction_id, s.window_end, amount, velocity, is_night, amount_ratio, new_device, behavior_score, amount_z, {STAT_COLUMNS}
+  FROM made LEFT JOIN stats s ON made.account_id = s.account_id AND s.window_end > made.ts_long AND s.window_end <= made.ts_long + 60""",
+)
+
+
+def feature_job(spark, sf, **cut):
+    body = F.struct(
+        "transaction_id", "account_id", "amount", F.col("ts").alias("timestamp"), "channel", "device_id", (F.col("k") / 100.0).alias("velocity"),
+        F.when(F.col("k") % 9 != 0, F.col("k") / 200.0).alias("behavior_score"),
+    )
+    out = jobs.feature_vectors(tx(spark, sf).select(F.to_json(body).cast("binary").alias("value")), **cut)
+    kinds = {"is_night": "int", "new_device": "int"}
+    fields = F.from_json("feature_vector", ", ".join(f"{n} {kinds.get(n, 'double')}" for n in VECTOR_FIELDS))
+    read = out.withColumn("v", fields).select("transaction_id", "window_end", "v.*", "avg_amount", "std_amount", "max_amount")
+    rounded = ("amount_ratio", "amount_z", "avg_amount", "std_amount", "max_amount")
+    return read.withColumns({c: F.round(c, 6) for c in rounded})
+
+
+@query("x12_feature_job", JOB_SQL)
+def whole_feature_job(spark, sf):
+    """Messages in, published vectors with their windows out."""
+    return feature_job(spark, sf)
+
+
+@query("x12_feature_job_cut_accounts", JOB_SQL)
+def whole_feature_job_cut(spark, sf):
+    return feature_job(spark, sf, **cut_all(spark, sf))
+
+
 ASOF_SQL = with_sql(
     TX, STATS,
     body=f"""SELECT transaction_id, s.window_end, {STAT_COLUMNS}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskweave.operators import drift, graph, logs, metrics, ml
@@ -9,6 +11,7 @@ from riskweave.operators.features import ORDER
 from riskweave.operators.validate import route_dlq
 from riskweave.plans.registry import query
 from riskweave.plans.views import REQUESTS, TX, cut_all, requests, tx, with_sql
+from riskweave.session import shared_dir
 from riskweave.sources import messages, store
 from riskweave.sources.tables import load_training, table
 
@@ -116,6 +119,37 @@ def recent_by(spark, sf):
     return store.recent_by(tx(spark, sf), "device_id", "dev1", 50, ts="ts").select("transaction_id", "ts_long")
 
 
+BUCKETS, KEPT_DAYS = 8, 12
+
+
+@query(
+    "s11_recent_by_bucketed",
+    with_sql(TX, body="SELECT transaction_id, ts_long FROM tx WHERE device_id = 'dev1' ORDER BY ts DESC, transaction_id DESC LIMIT 50"),
+)
+def recent_by_bucketed(spark, sf):
+    """From a store of day folders bucketed by the key."""
+    name = f"riskweave_store_{uuid.uuid4().hex}"
+    stored = store.write_table(tx(spark, sf), name, f"{shared_dir(spark)}/riskweave-tables/{name}", "device_id", BUCKETS, "ts")
+    return store.recent_by(stored, "device_id", "dev1", 50, ts="ts").select("transaction_id", "ts_long")
+
+
+@query(
+    "s10_retain_days",
+    with_sql(TX, body=f"SELECT transaction_id FROM tx WHERE ts > (SELECT max(ts) FROM tx) - INTERVAL {KEPT_DAYS * 86_400} SECOND"),
+)
+def retain_days(spark, sf):
+    """Expired day folders go whole; the day that the bound cuts is filtered."""
+    path = f"{shared_dir(spark)}/riskweave-tables/{uuid.uuid4().hex}"
+    t = tx(spark, sf)
+    t.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    newest = t.agg(F.max("ts").alias("as_of"))  # one row
+    bound = newest.select((F.col("as_of") - F.make_dt_interval(secs=F.lit(KEPT_DAYS * 86_400))).cast("date").cast("string")).first()[0]
+    if bound is not None:
+        store.drop_days(spark, path, bound)
+    kept = spark.read.schema(t.withColumn("day", F.to_date("ts")).schema).parquet(path).crossJoin(F.broadcast(newest))
+    return store.retain(kept, F.col("as_of"), KEPT_DAYS * 86_400, "ts").select("transaction_id")
+
+
 PUTS = """puts AS (SELECT account_id AS key, k AS value, event_id AS seq, ts_long AS put_ts, ts_long + CASE WHEN k % 2 = 0 THEN 3600 ELSE 600 END AS expires_at
   FROM tx),
 probes AS (SELECT account_id AS key, event_id, ts_long + k * 40 AS probe_ts FROM tx)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -22,6 +22,27 @@ def append_store(path: str, ts: str = "recorded_at"):
     return write
 
 
+def write_table(df: DataFrame, name: str, path: str, key: str, buckets: int, ts: str = "recorded_at") -> DataFrame:
+    """``df`` as a table of day folders, each bucketed by ``key`` and sorted by time: a look-up by key reads one bucket of each
+    day, one file, and days beyond the retention are folders that can go whole."""
+    dated = df.withColumn("day", F.to_date(ts))
+    # rows meet by the hash the buckets use, so that every task writes one file per day and bucket
+    rows = dated.repartition(buckets, key)
+    rows.write.mode("overwrite").partitionBy("day").bucketBy(buckets, key).sortBy(ts).option("path", path).saveAsTable(name, format="parquet")
+    return df.sparkSession.table(name)
+
+
+def drop_days(spark: SparkSession, path: str, before: str) -> list[str]:
+    """Remove the day folders of dates before ``before`` (``YYYY-MM-DD``); their dates.  No row is read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    days = [(status.getPath().getName(), status.getPath()) for status in files.listStatus(root)]
+    gone = [(name[4:], folder) for name, folder in days if name.startswith("day=") and name[4:5].isdigit() and name[4:] < before]
+    for _, folder in gone:
+        files.delete(folder, True)
+    return sorted(day for day, _ in gone)
+
+
 def insert_unique(new: DataFrame, existing: DataFrame, key: str = "transaction_id", order: list[str] | None = None) -> DataFrame:
     """Rows whose key is neither stored nor repeated earlier in the batch.
 

@@ -57,3 +57,44 @@ def test_null_verdict_is_a_dead_letter(spark):
     good, dead = route_dlq(df, F.col("ok"), F.lit("why"))
     assert [r["id"] for r in good.collect()] == [1]
     assert sorted(r["id"] for r in dead.where("dlq_reason = 'why' AND dlq_ts > 0").collect()) == [2, 3]
+
+
+def test_a_look_up_reads_one_bucket_and_expired_days_are_gone(spark, tmp_path):
+    rows = spark.range(400).select(
+        F.concat(F.lit("k"), F.col("id") % 40).alias("token"), F.format_string("t%03d", "id").alias("transaction_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 3_600).alias("recorded_at"),
+    )
+    path = str(tmp_path / "table")
+    stored = store.write_table(rows, "bucketed_store", path, "token", 8)
+    found = store.recent_by(stored, "token", "k7", 5)
+    assert [r["transaction_id"] for r in found.collect()] == ["t367", "t327", "t287", "t247", "t207"]
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that the plan shows the buckets
+    try:
+        plan = store.recent_by(spark.table("bucketed_store"), "token", "k7", 5)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "SelectedBucketsCount: 1 out of 8" in plan
+    days = sorted(p.name[4:] for p in (tmp_path / "table").glob("day=*"))
+    assert len(list((tmp_path / "table" / f"day={days[3]}").glob("*.parquet"))) <= 8  # one file a bucket
+    gone = store.drop_days(spark, path, days[10])
+    assert gone == days[:10] and sorted(p.name[4:] for p in (tmp_path / "table").glob("day=*")) == days[10:]
+    kept = store.retain(spark.read.parquet(path), F.lit(days[10]).cast("timestamp"), 0)
+    assert kept.count() == spark.read.parquet(path).count() - spark.read.parquet(path).where(F.col("recorded_at") <= F.lit(days[10]).cast("timestamp")).count()
+    spark.sql("DROP TABLE bucketed_store")
+
+
+def test_feature_job_publishes_the_fixed_fields(spark):
+    import json
+
+    from riskweave.operators import jobs
+    from riskweave.schema import VECTOR_FIELDS
+
+    body = lambda i, **more: json.dumps({"transaction_id": f"t{i}", "account_id": "a", "amount": 10.0 * i, "timestamp": f"2024-01-01T00:00:{i:02d}Z", "device_id": f"d{i // 3}", **more})
+    texts = [body(i, velocity=0.5, behavior_score=0.1) for i in range(1, 5)] + ["broken", body(9)]
+    out = jobs.feature_vectors(spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "value binary")).collect()
+    vectors = {r["transaction_id"]: json.loads(r["feature_vector"]) for r in out if r["transaction_id"]}
+    assert all(list(v) == [f for f in VECTOR_FIELDS if f in v] for v in vectors.values())
+    assert set(vectors["t1"]) == set(VECTOR_FIELDS) and set(VECTOR_FIELDS) - set(vectors["t9"]) == {"velocity", "behavior_score"}
+    assert vectors["t3"]["new_device"] == 1 and vectors["t2"]["new_device"] == 0
+    assert sum(r["transaction_id"] == "t2" for r in out) == 6  # a row for each window that holds it
+    assert [r["window_end"] for r in out if r["transaction_id"] is None] == [None]

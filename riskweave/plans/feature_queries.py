@@ -256,7 +256,7 @@ def feature_json(spark, sf):
     return features.feature_json(t, ["channel", "k", "device_id"]).select("transaction_id", "feature_vector")
 
 
-PAN, IBAN, IP = r"\b\d{12,19}\b", r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+PAN, IBAN, IP = (pattern for pattern, _ in privacy.PII_PATTERNS)
 
 
 def mask_sql(value: str) -> str:

@@ -338,8 +338,8 @@ def check_token(spark, sf):
 
 
 LINES = "list_filter(string_split(text, chr(10))[2:], lambda s: length(s) > 0)"
-DENY, ALLOW = "(agpl|gnu affero|gpl)", "lgpl"
-COPYLEFT = "(\\bagpl\\b|\\bgnu\\s+affero\\b|\\bgpl\\b|general public license)"
+DENY, ALLOW = ("(" + "|".join(names) + ")" for names in (policy.Policy().deny_licenses, policy.Policy().allow_licenses))
+COPYLEFT = "(" + policy.COPYLEFT.removeprefix("(?i)") + ")"
 
 
 @query(

@@ -48,6 +48,7 @@ LEGACY_FEATURES = ["amount", "velocity", "is_night", "country_risk", "new_device
 # Fields of the published feature vector.
 VECTOR_FIELDS = ["amount", "velocity", "is_night", "amount_ratio", "new_device", "behavior_score", "amount_z"]
 
+# Customer segments.
 SEGMENTS = ["standard", "premium", "business"]
 
 # Allowed range per feature column, (low, high) inclusive, None = open.
@@ -74,6 +75,7 @@ THRESHOLD = 0.7
 REVIEW = 0.6
 BLOCK = 0.85
 
+# Fields of a log line.
 LOG_FIELDS = T.StructType(
     [
         T.StructField(name, T.StringType())

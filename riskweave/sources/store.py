@@ -26,8 +26,9 @@ def write_table(df: DataFrame, name: str, path: str, key: str, buckets: int, ts:
     """``df`` as a table of day folders, each bucketed by ``key`` and sorted by time: a look-up by key reads one bucket of each
     day, one file, and days beyond the retention are folders that can go whole."""
     dated = df.withColumn("day", F.to_date(ts))
-    # rows meet by the hash the buckets use, so that every task writes one file per day and bucket
-    rows = dated.repartition(buckets, key)
+    # rows meet by day and the bucket's number, so that each day and bucket is one file, and a key of very many rows is sorted
+    # by as many tasks as there are days
+    rows = dated.repartition("day", F.pmod(F.hash(key), F.lit(buckets)))
     rows.write.mode("overwrite").partitionBy("day").bucketBy(buckets, key).sortBy(ts).option("path", path).saveAsTable(name, format="parquet")
     return df.sparkSession.table(name)
 

@@ -98,3 +98,19 @@ def test_feature_job_publishes_the_fixed_fields(spark):
     assert vectors["t3"]["new_device"] == 1 and vectors["t2"]["new_device"] == 0
     assert sum(r["transaction_id"] == "t2" for r in out) == 6  # a row for each window that holds it
     assert [r["window_end"] for r in out if r["transaction_id"] is None] == [None]
+
+
+def test_one_hot_key_is_written_by_several_tasks(spark, tmp_path):
+    """All rows have one key; days still go to different tasks, one file each."""
+    rows = spark.range(4000).select(
+        F.col("id").cast("string").alias("transaction_id"), F.lit("k").alias("token"), F.timestamp_seconds(F.col("id") % 8 * 86_400 + 1_700_000_000).alias("ts")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = store.write_table(rows, "hot_store", str(tmp_path / "table"), "token", 8, "ts")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = list((tmp_path / "table").glob("day=*/*.parquet"))
+    assert len(files) == 8 and len({f.name.split("-")[1] for f in files}) > 1
+    assert stored.count() == 4000
+    spark.sql("DROP TABLE hot_store")

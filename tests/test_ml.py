@@ -28,6 +28,32 @@ def test_forest_report(spark, rows):
     assert 0.1 <= report["optimal_threshold"] <= 0.9 and report["precision"] > 0.8 and report["recall"] > 0.8
 
 
+def test_forest_of_many_rows_is_fitted_in_groups_of_trees(spark, rows, tmp_path):
+    assert ml.tree_groups(200, 36_000_000) == [25] * 8 and ml.tree_groups(200, 5_000_000) == [200] and ml.tree_groups(200, 0) == [200]
+    assert ml.tree_groups(7, 10, 20) == [1, 2, 2, 2] and ml.tree_groups(3, 10, 1) == [1, 1, 1]
+    model = ml.fit_forest(rows, ["a", "b", "c"], "label", trees=7, depth=4, cells=2 * rows.count())
+    parts = model.pipeline.stages[1:]
+    assert [p.getNumTrees for p in parts] == [1, 2, 2, 2]
+    model.write().save(str(tmp_path / "groups"))
+    scores = [[r["probability"] for r in m.transform(rows).orderBy("id").collect()] for m in (model, ml.Tabular.load(str(tmp_path / "groups")))]
+    assert scores[0] == scores[1]
+    # every tree has the same say
+    kept = rows.select("*", *[F.col(c).cast("double").alias(f"_x_{c}") for c in "abc"])
+    votes = model.pipeline.transform(ml.scale(kept, model.scaler, ["_x_a", "_x_b", "_x_c"])).orderBy("id").collect()
+    mean = [sum(float(r[f"_raw{i or ''}"][1]) for i in range(4)) / 7 for r in votes]
+    assert scores[0] == pytest.approx(mean, abs=1e-12)
+
+
+def test_forest_of_many_rows_uses_all_cores(spark, rows, monkeypatch):
+    monkeypatch.setattr(ml, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(ml, "LEAST_ROWS", 50)
+    seen = []
+    fit = ml.RandomForestClassifier.fit
+    monkeypatch.setattr(ml.RandomForestClassifier, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    ml.fit_forest(rows.coalesce(1), ["a", "b", "c"], "label", trees=5, depth=4)
+    assert seen == [8]
+
+
 def test_local_score_uses_block_threshold(spark, rows):
     model = ml.fit_forest(rows, ["a", "b", "c"], "label", trees=10, depth=5)
     out = ml.score_local(rows, model)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.llm.near_dedup import among, bit_set
 from riskweave.llm.packing import list_rows
 from riskweave.llm.text import U, buffers, mix, pieces
 from riskweave.session import cut
@@ -55,6 +56,21 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     return marks, docs.where("doc_id is not null").where(fold).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def labelled(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose doc_id is in ``marks``, and few others: told apart by a bit set where they lie, so that the join
+    with the labels moves no other text."""
+    words, bits = bit_set(marks.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null"))
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            batch = batch.filter(among(batch.column(0).to_numpy(), shared.value, bits))
+            if batch.num_rows:
+                yield batch
+
+    return texts.mapInArrow(run, "doc_id bigint, text string")
+
+
 def class_counts(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """(place, good, bad): labelled training documents that have a feature; place -1 counts the documents."""
     wire = pa.schema([("place", pa.int32()), ("good", pa.int64()), ("bad", pa.int64())])
@@ -68,7 +84,7 @@ def class_counts(texts: DataFrame, marks: DataFrame) -> DataFrame:
         at = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.where(at == 1 << BITS, -1, at), pa.int32()), pa.array(counts[0, at]), pa.array(counts[1, at])], schema=wire)
 
-    return texts.join(marks, "doc_id").select("text", "good").mapInArrow(run, "place int, good bigint, bad bigint").groupBy("place").agg(
+    return labelled(texts, marks).join(marks, "doc_id").select("text", "good").mapInArrow(run, "place int, good bigint, bad bigint").groupBy("place").agg(
         F.sum("good").alias("good"), F.sum("bad").alias("bad")
     )
 

@@ -115,6 +115,12 @@ def bit_set(ids: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
+def among(ids: np.ndarray, words: np.ndarray, bits: int) -> pa.Array:
+    """Whether each id may be one of the bit set's."""
+    at = marked(ids, bits)
+    return pa.array(((words[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1)).all(axis=0))
+
+
 def shingle_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     """(set_key, s): sorted distinct shingle hashes of the rows whose doc_id is in ``wanted``, and of few others: rows are told
     apart by a bit set where they lie, as most documents are not wanted and no text has to travel."""
@@ -125,9 +131,7 @@ def shingle_sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held = Hasher(lower=True), shared.value
         for batch in pieces(batches, 1):
-            at = marked(batch.column(0).to_numpy(), bits)
-            hit = ((held[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1)).all(axis=0)
-            batch = batch.filter(pa.array(hit))
+            batch = batch.filter(among(batch.column(0).to_numpy(), held, bits))
             if not batch.num_rows:
                 continue
             data, offsets = buffers(batch.column(1))

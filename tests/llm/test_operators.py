@@ -381,6 +381,14 @@ def test_classifier(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == held(low(r.doc_id), 5) for r in got)
 
 
+def test_only_labelled_texts_meet_the_labels(spark):
+    docs = spark.createDataFrame([(i % 5000, f"text {i}") for i in range(10_000)], "doc_id bigint, text string")
+    marks = spark.range(0, 5000, 100).select(F.col("id").cast("int").alias("doc_id"), F.lit(1).alias("good"))
+    got = [r.doc_id for r in classifier.labelled(docs, marks).collect()]
+    assert len(got) < 200 and sorted(i for i in got if i % 100 == 0) == sorted(2 * list(range(0, 5000, 100)))
+    assert classifier.labelled(docs, marks.where("good = 0")).count() == 0
+
+
 def test_classifier_without_labels(spark, docs):
     got = classifier.classify(docs, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")).select("score").distinct().collect()
     assert len(got) == 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.times import epoch_seconds
 from riskweave.operators import asof, features
 from riskweave.schema import VECTOR_FIELDS
+from riskweave.session import cut as write_table
 from riskweave.sources.messages import parse_txn
 
 
@@ -19,6 +20,7 @@ def feature_vectors(messages: DataFrame, col: str = "value", **cut) -> DataFrame
     that don't parse have null fields and meet no window.  ``cut``: how accounts of very many rows are spread.
     """
     parsed = parse_txn(messages, col).withColumnRenamed("timestamp", "ts").withColumn("ts_long", epoch_seconds(F.col("ts")))
+    parsed = write_table(parsed)  # counted, sliced, windowed and described: messages are parsed once
     described = features.stream_vector_features(parsed, **cut)
     joined = asof.join_stats(described, features.window_stats(parsed.where("ts is not null")))
     vector = features.feature_json(joined, VECTOR_FIELDS)

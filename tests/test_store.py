@@ -114,3 +114,19 @@ def test_one_hot_key_is_written_by_several_tasks(spark, tmp_path):
     assert len(files) == 8 and len({f.name.split("-")[1] for f in files}) > 1
     assert stored.count() == 4000
     spark.sql("DROP TABLE hot_store")
+
+
+def test_feature_job_parses_a_message_once(spark):
+    from riskweave.operators import jobs
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return bytearray(text.encode())
+
+    body = F.format_string('{"transaction_id":"t%d","account_id":"a%d","amount":1.0,"timestamp":"2024-01-01T00:00:00Z"}', F.col("id"), F.col("id") % 3)
+    messages = spark.range(90).select(F.udf(counted, "binary")(body).alias("value"))
+    for cut in ({}, {"limit": 10, "rows": 20}):
+        read.value = 0
+        assert jobs.feature_vectors(messages, **cut).count() == 90 * 6 and read.value == 90

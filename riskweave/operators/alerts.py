@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.frames import SLICE_ROWS, apply, last_seen, over_trailing, previous
 from riskweave.operators.metrics import SAMPLE_ORDER, counter_increase, growth, histogram_quantile
+from riskweave.session import cut as write_table
 
 
 @dataclass(frozen=True)
@@ -82,11 +83,12 @@ def _quantiles(samples: DataFrame, range_s: int, q: float, **cut) -> DataFrame:
     A series without a sample in the range adds nothing.
     """
     grown = growth(samples, [*SERIES, "le"], "_up", **cut)
-    edges = grown.select("rule", "le").distinct()
+    gains = write_table(grown.groupBy("rule", "le", "ts_long").agg(F.sum("_up").alias("_up")))  # read three times
+    edges = gains.select("rule", "le").distinct()
     # one row per instant and edge of the rule: an instant of one series may lack edges that others have
-    instants = grown.select("rule", "ts_long").distinct().join(edges, "rule")
-    gains = grown.groupBy("rule", "le", "ts_long").agg(F.sum("_up").alias("_up"))
+    instants = gains.select("rule", "ts_long").distinct().join(edges, "rule")
     steps = instants.join(gains, ["rule", "le", "ts_long"], "left").withColumn("_up", F.coalesce("_up", F.lit(0.0)))
+    steps = write_table(steps)  # read by the panes and by the join with them
     merged = over_trailing(steps, ["rule", "le"], "ts_long", {"value": ("sum", "_up", range_s)}, **cut)
     found = histogram_quantile(merged.drop("_up"), q, ["rule", "ts_long"]).withColumnRenamed("quantile", "x")
     scrapes = samples.groupBy("rule", "ts_long", "seq").agg(F.min("name").alias("name"))
@@ -131,7 +133,8 @@ def eval_alerts(samples: DataFrame, rules: list[Rule] = RULES, limit: int | None
         hit = {">": x > r.bound, ">=": x >= r.bound, "<": x < r.bound, "=": x == r.bound}[r.op]
         over = F.when(F.col("rule") == r.name, F.coalesce(hit, F.lit(False))).otherwise(over)
         hold = F.when(F.col("rule") == r.name, r.hold_s).otherwise(hold)
-    judged = values.withColumns({"_over": over, "_hold": hold})
+    # Long series are counted, sampled, sliced and told from the others, each time from here.
+    judged = write_table(values.withColumns({"_over": over, "_hold": hold}))
 
     def starts(w):
         before = F.coalesce(F.lag("_over").over(w), F.lit(False))

@@ -146,3 +146,19 @@ def test_cpu_and_memory(spark):
     assert math.isclose(out["cpu_pct"], 50.0)
     m = spark.createDataFrame([(25.0, 100.0)], "available double, total double")
     assert metrics.mem_pct(m).first()["mem_pct"] == 75.0
+
+
+@pytest.mark.parametrize("cut", [{}, {"limit": 10, "rows": 50}])
+def test_rules_compute_an_expression_once(spark, cut):
+    """The rows judged feed several steps, which must not each compute the rules from the samples again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        read.add(1)
+        return value
+
+    long = spark.range(100).select(F.lit("lat").alias("name"), F.lit("all").alias("series"), (F.col("id") * 10).alias("ts_long"), F.col("id").alias("seq"), F.lit(float("inf")).alias("le"), F.udf(counted, "double")(F.col("id") * 2.0).alias("value"))
+    for kind, rows, most in (("value", 100, 100), ("quantile", 99, 400)):  # nothing has grown at the first scrape
+        read.value = 0
+        out = alerts.eval_alerts(long, [alerts.Rule("R", "lat", kind, ">", 5, 60)], **cut)
+        assert len(out.collect()) == rows and read.value <= most

@@ -309,6 +309,24 @@ def test_fingerprint_query_has_classes(spark):
     assert all(r.kept == (r.doc_id == r.component_id) and len(r.fingerprint) in (0, 512) for r in got)
 
 
+def test_fingerprints_meet_their_classes_before_they_are_made(spark):
+    """Only compressed texts and classes cross a shuffle, no fingerprints; repeated and null doc_ids keep a class per text."""
+    same = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, same), (2, same + " end"), (2, "quite another text of seven words"), (3, None), (4, same), (None, same), (None, ""), (5, "short"), (2, same)]
+    rows += [(6, "a" * 64 + x) for x in ("z", "b", "", " y", "b")]  # told apart behind what Spark sorts by
+    rows += [(i, f"{i} " * (i % 9) + "tail of the text") for i in range(10, 200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = fingerprint.fingerprints_and_classes(docs)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Join" not in plan[: plan.index("MapInArrow")]
+    plain = near_dedup.grouped(fingerprint.fingerprints(docs, digests=True), fingerprint.linked(docs, fingerprint.banded(docs), fingerprint.SHINGLE, 80))
+    assert sorted(map(repr, made.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    assert {r.component_id for r in made.collect() if r.doc_id == 2} == {1, 2}
+    texts = [t or "" for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:] + texts[:1])]
+    assert sorted(r.edited_sha256 for r in made.collect()) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in edited)
+
+
 def test_fingerprints_of_long_texts():
     """Minima of very large sets are small numbers; unequal ones must not share their 16 bits."""
     minhash = fingerprint.MinHash(k=1)

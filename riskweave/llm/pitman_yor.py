@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.packing import CHUNK, Chunk, deal, list_rows, lists, pack, parts, signed, spans
+from riskweave.llm.packing import CHUNK, Chunk, deal, list_rows, lists, opened, pack, parts, signed, spans
 from riskweave.llm.text import NULL_ID, Hasher, U, by_word, stream
 from riskweave.session import cut, cut_by
 
 CLASSES = 1 << 16  # homes at most; a home adds up many contexts, each by itself
 END, START = int(stream(31, 1)[0]), int(stream(32, 1)[0])
 SEED = 20240229
-I64, I32, F32 = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float32())
+I64, F32 = pa.list_(pa.int64()), pa.list_(pa.float32())
+INTS = pa.binary()  # whole numbers, pressed: tables and shuffles copy them as one cell
 
 
 def held_out(doc_id: int) -> bool:
@@ -119,6 +120,15 @@ class Bucket:
     def per_word(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.first) if len(self.k) else np.zeros(0, values.dtype)
 
+    def whole(self) -> np.ndarray:
+        """What is summed over all buckets: customers, words, ones and twos among the customers of a dish, the same of the parent's,
+        and first tables."""
+        known = (self.count > 0).astype(np.int64)
+        contexts = self.per_word(known)
+        return np.array([
+            self.count.sum(), (contexts > 0).sum(), (self.count == 1).sum(), (self.count == 2).sum(), (contexts == 1).sum(), (contexts == 2).sum(), known.sum(),
+        ])
+
     def sweep(self, number: int, totals: dict, fixed: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tables per pair, parent customers per word, parent tables per word)."""
         rng = np.random.default_rng([SEED, number, self.bucket])
@@ -144,7 +154,7 @@ def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {
-                n: c[i].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) else c[i].as_py()
+                n: opened(c[i].as_py()) if pa.types.is_binary(c.type) else c[i].as_py()
                 for n, c in zip(batch.schema.names, batch.columns)
             }
 
@@ -185,13 +195,13 @@ def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.
     buckets = 4 * n
     homes = min(n, CLASSES)
     packed = pack(docs, n)
-    sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("w", I64), ("k", I32), ("context", I64), ("count", I32)])
+    sent = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("w", INTS), ("k", INTS), ("context", INTS), ("count", INTS)])
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x, chunk = Pairs(Chunk(table)), key[0].as_py()
         return list_rows(sent, [(b, chunk, signed(x.words[p]), x.size[p], signed(x.context[q]), x.count[q]) for b, p, q in x.buckets(buckets)])
 
-    kept = pa.schema([("bucket", pa.int32()), ("k", I32), ("distinct", I64), ("context", I32), ("count", I64), ("chunk", I32), ("n", I32), ("gap", I32)])
+    kept = pa.schema([("bucket", pa.int32()), ("k", INTS), ("distinct", INTS), ("context", INTS), ("count", INTS), ("chunk", INTS), ("n", INTS), ("gap", INTS), ("whole", I64)])
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         size = lists(table, "k", np.int64)
@@ -210,33 +220,29 @@ def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.
         distinct, own = homed(c[at], homes)
         sizes = [len(x) for x in lists(table, "context")]
         gap = np.concatenate([np.diff(x, prepend=0) for x in np.split(place, np.cumsum(sizes)[:-1])])
-        return list_rows(kept, [(key[0].as_py(), k, signed(distinct), own, np.add.reduceat(number[order], at), np.array(table["chunk"].to_pylist()), np.array(sizes), gap)])
+        x = Bucket({"bucket": key[0].as_py(), "k": k, "context": own, "count": np.add.reduceat(number[order], at)})
+        return list_rows(kept, [(x.bucket, k, signed(distinct), own, x.count, np.array(table["chunk"].to_pylist()), np.array(sizes), gap, x.whole())])
 
-    pairs = packed.groupBy("chunk").applyInArrow(count, "bucket int, chunk int, w array<bigint>, k array<int>, context array<bigint>, count array<int>")
-    merged = pairs.groupBy("bucket").applyInArrow(merge, "bucket int, k array<int>, distinct array<bigint>, context array<int>, count array<bigint>, chunk array<int>, n array<int>, gap array<int>")
+    pairs = packed.groupBy("chunk").applyInArrow(count, "bucket int, chunk int, w binary, k binary, context binary, count binary")
+    merged = pairs.groupBy("bucket").applyInArrow(merge, "bucket int, k binary, distinct binary, context binary, count binary, chunk binary, n binary, gap binary, whole array<bigint>")
     store = cut_by(merged, "bucket", n)
     model = store.select("bucket", "k", "context", "count")
 
-    first = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("context", I64), ("customers", I64), ("tables", I64), ("whole", I64)])
+    sums = store.agg(*[F.coalesce(F.sum(F.get("whole", F.lit(i))), F.lit(0)) for i in range(7)]).first()
+    train, known, n1, n2, m1, m2, first_tables = (int(v) for v in sums)
+    fixed = {"d": discount(n1, n2), "d0": discount(m1, m2), "strength": strength, "base": 1.0 / (known + 1)}
+
+    first = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("context", INTS), ("customers", INTS), ("tables", INTS)])
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in bucket_rows(batches):
             x, context = Bucket(row), row["distinct"]
-            known = (x.count > 0).astype(np.int64)
-            contexts = x.per_word(known)
-            whole = np.array([x.count.sum(), (contexts > 0).sum(), (x.count == 1).sum(), (x.count == 2).sum(), (contexts == 1).sum(), (contexts == 2).sum(), known.sum()])
-            customers, tables = (np.bincount(x.context, v, len(context)).astype(np.int64) for v in (x.count, known))
-            rows = [(h, x.bucket, context[p], customers[p], tables[p], np.zeros(0, np.int64)) for h, p in deal(context.view(U), homes)]
-            rows[0] = (*rows[0][:-1], whole)
+            customers, tables = (np.bincount(x.context, v, len(context)).astype(np.int64) for v in (x.count, x.count > 0))
+            rows = [(h, x.bucket, context[p], customers[p], tables[p]) for h, p in deal(context.view(U), homes)]
             yield from list_rows(first, rows).to_batches()
 
-    begun = store.select("bucket", "k", "distinct", "context", "count").mapInArrow(start, "home int, bucket int, context array<bigint>, customers array<bigint>, tables array<bigint>, whole array<bigint>")
-    begun = cut(begun)
-    sums = begun.agg(*[F.coalesce(F.sum(F.get("whole", F.lit(i))), F.lit(0)) for i in range(7)]).first()
-    train, known, n1, n2, m1, m2, opened = (int(v) for v in sums)
-    fixed = {"d": discount(n1, n2), "d0": discount(m1, m2), "strength": strength, "base": 1.0 / (known + 1)}
-
-    placed = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("place", I32), ("customers", I64), ("tables", I64)])
+    begun = store.select("bucket", "k", "distinct", "context", "count").mapInArrow(start, "home int, bucket int, context binary, customers binary, tables binary")
+    placed = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("place", INTS), ("customers", INTS), ("tables", INTS)])
 
     def settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         cells = lists(table, "context")
@@ -245,12 +251,11 @@ def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.
         total = [np.split(np.bincount(place, np.concatenate(lists(table, v))).astype(np.int64)[place], edge) for v in ("customers", "tables")]
         return list_rows(placed, [(key[0].as_py(), *row) for row in zip(table["bucket"].to_pylist(), np.split(place, edge), *total)])
 
-    settled = begun.select("home", "bucket", "context", "customers", "tables").groupBy("home")
-    settled = cut_by(settled.applyInArrow(settle, "home int, bucket int, place array<int>, customers array<bigint>, tables array<bigint>"), "home", n)
+    settled = cut_by(begun.groupBy("home").applyInArrow(settle, "home int, bucket int, place binary, customers binary, tables binary"), "home", n)
     layout = settled.select("home", "bucket", "place")
     reply = lambda table, sweep, total: table.select("bucket", "home", F.lit(sweep).alias("sweep"), F.col(total).alias("total"))
 
-    replied = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("tables", I64)])
+    replied = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("tables", INTS)])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table, news: pa.Table) -> pa.Table:
         at = dict(zip(news["bucket"].to_pylist(), lists(news, "tables")))
@@ -259,8 +264,8 @@ def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.
         total = np.bincount(place, np.concatenate([at[b] for b in rows])).astype(np.int64)[place]
         return list_rows(replied, [(key[0].as_py(), b, v) for b, v in zip(rows, np.split(total, np.cumsum([len(c) for c in cells])[:-1]))])
 
-    told = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("tables", I64), ("customers0", pa.int64()), ("tables0", pa.int64())])
-    replies, parent = [reply(settled, 0, "tables")], [(opened, known)]  # tables per context; customers and tables of the parent
+    told = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("tables", INTS), ("customers0", pa.int64()), ("tables0", pa.int64())])
+    replies, parent = [reply(settled, 0, "tables")], [(first_tables, known)]  # tables per context; customers and tables of the parent
     for number in range(burn + samples):
         before = parent[-1]
 
@@ -272,12 +277,12 @@ def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.
             return said.sent(told, x.bucket, tables, (int(c0.sum()), int(t0.sum())))
 
         both = model.groupBy("bucket").cogroup(replies[-1].groupBy("bucket"))
-        news = cut(both.applyInArrow(sweep, "home int, bucket int, tables array<bigint>, customers0 bigint, tables0 bigint"))
+        news = cut(both.applyInArrow(sweep, "home int, bucket int, tables binary, customers0 bigint, tables0 bigint"))
         parent.append(tuple(int(v or 0) for v in news.agg(F.sum("customers0"), F.sum("tables0")).first()))
         added = layout.groupBy("home").cogroup(news.select("home", "bucket", "tables").groupBy("home"))
-        replies.append(reply(cut(added.applyInArrow(add, "home int, bucket int, tables array<bigint>")), number + 1, "tables"))
+        replies.append(reply(cut(added.applyInArrow(add, "home int, bucket int, tables binary")), number + 1, "tables"))
 
-    answer = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("lp", F32), ("seen", I64)])
+    answer = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("lp", F32), ("seen", INTS)])
 
     def predict(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         said = Said(answers)
@@ -323,6 +328,6 @@ def score(docs: DataFrame, burn: int = 1, samples: int = 3, strength: float = 1.
     for one in replies[burn:]:
         past = past.unionByName(one)
     whole = store.select("bucket", "k", "context", "count", "chunk", "n", "gap").groupBy("bucket").cogroup(past.groupBy("bucket"))
-    answers = whole.applyInArrow(predict, "chunk int, bucket int, lp array<float>, seen array<bigint>")
+    answers = whole.applyInArrow(predict, "chunk int, bucket int, lp array<float>, seen binary")
     scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(gather, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")

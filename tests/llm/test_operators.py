@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -15,8 +16,9 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, chat, classifier, fingerprint, mixing, near_dedup, pitman_yor, quality_rules, substring, text, token_counts
+from riskweave.llm import bpe, chat, classifier, fingerprint, mixing, near_dedup, packing, pitman_yor, quality_rules, substring, text, token_counts
 from riskweave.llm.queries import DOMAINS, QUERIES, domain, weights  # noqa: F401
+from riskweave.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -428,3 +430,23 @@ def test_empty_tables(spark, ranks):
         classifier.classify(docs, labels), fingerprint.fingerprints(docs), fingerprint.similar(docs),
     ):
         assert out.count() == 0
+
+
+def test_pressed_numbers():
+    """Numbers of any width come back from a cell, in a binary field of ``list_rows`` as from a list."""
+    cells = [np.array(x, np.int64) for x in ([], [0, -1, 127], [300, -300], [1 << 20], [-(1 << 63), (1 << 63) - 1])]
+    assert [packing.pressed(c)[:1] for c in cells] == [b"b", b"b", b"h", b"i", b"q"]
+    assert all((packing.opened(packing.pressed(c)) == c).all() for c in cells)
+    table = packing.list_rows(pa.schema([("i", pa.int32()), ("x", pa.binary())]), list(enumerate(cells)))
+    assert [c.tolist() for c in packing.lists(table, "x")] == [c.tolist() for c in cells]
+    ones = np.ones(100_000, np.int64)
+    assert len(packing.pressed(ones)) < 100  # 800,000 bytes as a list
+
+
+def test_language_model_keeps_few_tables(spark):
+    """Kept are the counts, the layout of the homes and two tables a sweep, without a further table of all contexts."""
+    kept = Path(shared_dir(spark)) / "riskweave-tables" / spark.sparkContext.applicationId
+    before = set(kept.glob("*"))
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(300))) for i in range(60)]
+    assert pitman_yor.score(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 60
+    assert len(set(kept.glob("*")) - before) == 2 + 2 * 4
